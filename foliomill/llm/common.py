@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 #: A run of anything but the four ASCII white-space characters.
 TOKEN = r"[^ \t\r\n]+"
 #: Such a run that holds a character beyond ASCII.
-WIDE_TOKEN = r"[^ \t\r\n]*[^\x00-\x7F][^ \t\r\n]*"
+WIDE_TOKEN = r"(?<![^ \t\r\n])[\x00-\x08\x0B\x0C\x0E-\x1F\x21-\x7F]*+[^\x00-\x7F][^ \t\r\n]*+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

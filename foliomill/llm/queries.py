@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import mixing, packing, repeated_lines, repetition
+from . import encoding, forms, mixing, packing, quality, repeated_lines, repetition
 from .common import table
 
 
@@ -16,6 +16,25 @@ def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(ship(spark), sf_dir, "mda_paragraph_level")
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text")
+    return encoding.repair_encoding(p, "paragraph_text").where("garbled").select("paragraph_id").distinct()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.repair_encoding(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text", "quality_decision"), "paragraph_text")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "unit_type", "paragraph_text")
+    return quality.text_quality(p, "paragraph_text").where("text_kind = 'STRUCTURE' and unit_type = 'PARAGRAPH'").select("paragraph_id").distinct()
+
+
+def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "unit_type", "paragraph_word_count", "review_flag", "paragraph_text")
+    return quality.text_quality(p, "paragraph_text").drop("paragraph_text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir)
     lines = repeated_lines.repeated_lines(p, "paragraph_id", "report_id", "paragraph_text")
@@ -28,6 +47,26 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(p, "paragraph_id", "report_id", "paragraph_text")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text")
+    h = table(spark, sf_dir, "semantic_heading_manifest")
+    found = forms.one_form(p, "paragraph_text").where("out_of_form").join(p1_found(spark, sf_dir), "paragraph_id", "left_anti")
+    heads = forms.one_form(h.select("heading_id", "original_heading"), "original_heading").where("out_of_form")
+    return (
+        found.select(F.lit("mda_paragraph_level").alias("table_name"), F.col("paragraph_id").alias("record_key"))
+        .unionByName(heads.select(F.lit("semantic_heading_manifest").alias("table_name"), F.col("heading_id").cast("string").alias("record_key")))
+        .distinct()
+    )
+
+
+def p6_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.one_form(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text"), "paragraph_text")
+
+
+def p6_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forms.one_form(table(ship(spark), sf_dir, "semantic_heading_manifest").select("heading_id", "original_heading"), "original_heading")
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     kinds = [(r["container_kind"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacity").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind").collect()]
@@ -58,7 +97,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p5_found, p5_clean, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
 }
 
 ORACLE: dict[str, str] = {
