@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import encoding, forms, mixing, packing, quality, repeated_lines, repetition
+from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition
 from .common import table
 
 
@@ -67,6 +67,23 @@ def p6_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forms.one_form(table(ship(spark), sf_dir, "semantic_heading_manifest").select("heading_id", "original_heading"), "original_heading")
 
 
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    refs = table(spark, sf_dir, "heading_category_ref"), table(spark, sf_dir, "heading_alias_ref")
+    names = refs[0].select("category_code", F.col("canonical_category").alias("name"), F.lit(0).alias("n")).unionByName(refs[1].select("category_code", F.col("alias_text").alias("name"), F.col("alias_id").alias("n")))
+    entries = [(r["category_code"], r["name"]) for r in names.where("category_code is not null and name is not null").distinct().orderBy("n", "category_code", "name").collect()]
+    h = table(spark, sf_dir, "semantic_heading_manifest").where("canonical_category is null").select("heading_id", "original_heading")
+    return canonical.canonical(h, "original_heading", entries)
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headings(spark, sf_dir).select("heading_id", "category_code").distinct()
+
+
+def p7_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _headings(spark, sf_dir)
+
+
 def p8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     kinds = [(r["container_kind"], r["capacity_tokens"]) for r in table(spark, sf_dir, "pack_capacity").select("container_kind", "capacity_tokens").distinct().orderBy("container_kind").collect()]
@@ -97,7 +114,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
 }
 
 ORACLE: dict[str, str] = {
