@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition
+from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition, sentences
 from .common import table
 
 
@@ -25,6 +25,18 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair_encoding(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text", "quality_decision"), "paragraph_text")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).where("unit_type <> 'SECTION_HEADING' and text_source = 'native' and not contains(paragraph_text, '\n')")
+    ends = sentences.sentence_ends(p.select("paragraph_id", "paragraph_text"), "paragraph_text")
+    rows = ends.select("paragraph_id", F.explode(F.slice("sentence_ends", 1, F.greatest(F.size("sentence_ends") - 1, F.lit(0)))).alias("end_char"))
+    return rows.join(p3_found(spark, sf_dir), "paragraph_id", "left_anti").distinct()
+
+
+def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text").distinct()
+    return sentences.sentences(p, "paragraph_id", "paragraph_text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir).select("paragraph_id", "unit_type", "paragraph_text")
     return quality.text_quality(p, "paragraph_text").where("text_kind = 'STRUCTURE' and unit_type = 'PARAGRAPH'").select("paragraph_id").distinct()
@@ -114,7 +126,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_sentences, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
 }
 
 ORACLE: dict[str, str] = {
