@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition, sentences
+from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition, scans, sentences
 from .common import table
 
 
@@ -47,6 +47,18 @@ def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.text_quality(p, "paragraph_text").drop("paragraph_text")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text")
+    damaged = scans.repair_scans(p, "paragraph_text").where("size(scan_damage) > 0").select("paragraph_id").distinct()
+    odd = forms.one_form(p, "paragraph_text").where("out_of_form").select("paragraph_id")
+    other = p1_found(spark, sf_dir).unionByName(p3_found(spark, sf_dir)).unionByName(odd).distinct()
+    return damaged.join(other, "paragraph_id", "left_anti")
+
+
+def p4_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scans.repair_scans(_paragraphs(spark, sf_dir).select("paragraph_id", "text_source", "paragraph_text"), "paragraph_text")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir)
     lines = repeated_lines.repeated_lines(p, "paragraph_id", "report_id", "paragraph_text")
@@ -126,7 +138,7 @@ def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_sentences, p3_found, p3_statistics, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_sentences, p3_found, p3_statistics, p4_found, p4_readable, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
 }
 
 ORACLE: dict[str, str] = {

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Hash buckets of word counts, which bound what is sent to the workers, and texts of the sample the model is fitted on.
 BUCKETS, SAMPLE = 1 << 18, 6000
-#: A word seen this often and never at a sure place isn't a boundary there.
-OFTEN = 8
+#: A word expected this often at a sure place and never seen there isn't a boundary (e^-4.6 is one in a hundred).
+EXPECTED = 4.6
 
 _CLOSE = "\"”’»)\\]」』】）›“"
 _THAI = "฀-๿"
@@ -143,13 +143,13 @@ class Boundaries:
         self.start_rate = starts.sum() / max(1, inside_after.sum())
         self.end_rate = ends.sum() / max(1, inside_before.sum())
 
-    def ratios(self, a: str, b: str) -> tuple[float, float, int, int, int, int]:
+    def ratios(self, a: str, b: str) -> tuple[float, float, int, float, int, float]:
         i, j = bucket(a), bucket(b)
         ne, ni, ns, na = int(self.ends[i]), int(self.before[i]), int(self.starts[j]), int(self.after[j])
         # against the rate at which any candidate is at a sure place; rare words stay near zero
         ra = np.log((ne + 0.3) / ((ni + 0.3 / max(self.end_rate, 1e-3)) * max(self.end_rate, 1e-3)))
         rb = np.log((ns + 0.3) / ((na + 0.3 / max(self.start_rate, 1e-3)) * max(self.start_rate, 1e-3)))
-        return float(ra), float(rb), ne, ni, ns, na
+        return float(ra), float(rb), ne, ni * self.end_rate, ns, na * self.start_rate
 
     def features(self, text: str, at: int, kind: str, a: str, b: str, spaced: bool) -> np.ndarray:
         ra, rb, ne, ni, ns, na = self.ratios(a, b)
@@ -168,10 +168,10 @@ class Boundaries:
         x[15] = a[-1:] in "\"”’»)]」』"
         x[16] = "!" in a[-3:] or "?" in a[-3:]
         x[17] = not spaced and kind == "w"
-        x[18] = ne == 0 and ni >= OFTEN
-        x[19] = ns == 0 and na >= OFTEN
-        x[20] = ne == 0 and ni < OFTEN
-        x[21] = ns == 0 and na < OFTEN
+        x[18] = ne == 0 and ni >= EXPECTED
+        x[19] = ns == 0 and na >= EXPECTED
+        x[20] = ne == 0 and ni < EXPECTED
+        x[21] = ns == 0 and na < EXPECTED
         x[22] = bool(x[20]) and x[5] > 0
         x[23] = a[-3:] == "..." or a[-1:] == "…"
         x[24] = kind == "t" and (a[-1:].isdigit() or first.isdigit())
@@ -192,8 +192,8 @@ class Boundaries:
             for at, kind in candidates(t):
                 a, b = before(t, at), after(t, at)
                 _, _, ne, ni, ns, na = self.ratios(a, b)
-                never = ne == 0 and ni >= OFTEN or ns == 0 and na >= OFTEN
-                sure = ne >= 3 and ns >= 3 and ne > 0.1 * self.end_rate * ni and ns > 0.1 * self.start_rate * na
+                never = ne == 0 and ni >= EXPECTED or ns == 0 and na >= EXPECTED
+                sure = ne >= 3 and ns >= 3 and ne > 0.1 * ni and ns > 0.1 * na
                 if never or sure:
                     rows.append(self.features(t, at, kind, a, b, text_space(t, at)))
                     truth.append(0.0 if never else 1.0)
