@@ -6,6 +6,7 @@ import io
 import zipfile
 from xml.sax.saxutils import escape
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -60,8 +61,6 @@ def docx(title: str, text: str) -> bytes:
 
 def with_docx(df: DataFrame, label: str, text_col: str) -> DataFrame:
     """Each section with `docx`, its document as bytes, to be written by any binary sink."""
-    import pandas as pd
-
     def make(titles: pd.Series, texts: pd.Series) -> pd.Series:
         return pd.Series([docx(a or "", b or "") for a, b in zip(titles, texts)], dtype=object)
 
