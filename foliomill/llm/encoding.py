@@ -44,6 +44,8 @@ _CYRILLIC, _LATIN = re.compile("[Ѐ-ӿ]"), re.compile("[A-Za-zÀ-ɏ]")
 _TWINS = frozenset("АВЕЅІЈКМНОРСТУХаеіјорсухѕһԁԛԝӏ")
 _LATIN_TWINS = frozenset("ABCEHKMOPTXYaceopxyijs")
 _ODD_CYRILLIC = re.compile("[ЂЃЉЊЋЌЏђѓљњћќџЎўҐґ]")
+#: The commonest Chinese characters, of which right text holds some.
+COMMON_HAN = frozenset("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小业部报计公司务市资金产品加工电年度月期本总营增新理管发行成开关")
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 _tables: dict[str, tuple[list[str], dict[str, int]]] = {}
@@ -175,9 +177,14 @@ def _bytes(text: str, wrong: str) -> bytes | None:
         return None
 
 
+def _junk(token: str) -> bool:
+    """Signs without a foreign letter among ASCII ones that text hardly has: a broken picture or rule, no wrong decoding."""
+    return any(c in _JUNK for c in token) and not any(c > "\x7f" and c.isalpha() for c in token) and not _LOST.search(token)
+
+
 def undo(token: str) -> str | None:
     """What a token was before one or two wrong readings, verified; None if it doesn't come from one."""
-    fixed = _undo(token)
+    fixed = None if _junk(token) else _undo(token)
     return fixed and (_undo(fixed) or fixed)
 
 
@@ -185,13 +192,16 @@ def _undo(token: str) -> str | None:
     wide = [c for c in token if c > "\x7f"]
     if not wide:
         return None
-    return _undo_utf8(token, ("cp1252", "latin-1")) or _undo_eastern(token, wide) or _undo_utf8(token, WRONG[2:]) or _undo_wide(token, wide) or _undo_letters(token)
+    found = _undo_utf8(token)
+    if found and found[0][0] <= 0:
+        return found[1]
+    return _undo_cyrillic(token) or _undo_eastern(token, wide) or found and found[1] or _undo_wide(token, wide) or _undo_letters(token)
 
 
-def _undo_utf8(token: str, wrongs: tuple[str, ...]) -> str | None:
-    """UTF-8 read in a single-byte encoding."""
+def _undo_utf8(token: str) -> tuple[tuple[int, int], str] | None:
+    """UTF-8 read in a single-byte encoding: the reading that leaves the fewest characters unexplained, with that number."""
     best = None
-    for wrong in wrongs:
+    for wrong in WRONG:
         back, parts, new = _table(wrong)[1], [], ""
         strict = wrong not in ("cp1252", "latin-1", "mac_roman", "cp437", "cp850")
         for known, group in itertools.groupby(token, lambda c: c in back or c == "�"):
@@ -203,16 +213,16 @@ def _undo_utf8(token: str, wrongs: tuple[str, ...]) -> str | None:
             if got and len(got[1]) == 1:
                 ch, pair = got[1], got[1] < "\u0800"
                 sure = any(not c.isalpha() for c in segment if c > "\x7f")
-                if strict and ch.isalpha() and ch > "ſ" or wrong not in ("cp1252", "latin-1", "cp1251") and pair and not sure or wrong in ("cp1252", "latin-1") and ch > "ſ" and pair and not sure:
+                if strict and ch > "ſ" and not "\u2010" <= ch <= "\u25ff" or wrong not in ("cp1252", "latin-1", "cp1251") and pair and not sure or wrong in ("cp1252", "latin-1") and ch > "ſ" and pair and not sure:
                     got = None
             parts.append(got[0] if got else segment)
             new += got[1] if got else ""
         text = "".join(parts)
         if new and text != token:
-            rank = (text.count("�"), -len(new))
+            rank = sum(c > "\x7f" for c in token) - len(new.encode()), text.count("�")  # characters left unexplained
             if best is None or rank < best[0]:
                 best = rank, text
-    return best and best[1]
+    return best
 
 
 def _undo_wide(token: str, wide: list[str]) -> str | None:
@@ -235,14 +245,14 @@ def _undo_eastern(token: str, wide: list[str]) -> str | None:
     for right in ("shift_jis", "gbk", "euc_jp", "big5") if raw else ():
         text = raw.decode(right, "ignore")
         east = sum("、" <= c <= "ヿ" or "一" <= c <= "鿿" for c in text)
-        common = sum("、" <= c <= "ヿ" or c in "的了在" for c in text)
-        if east >= 3 and east * 2 >= 0.8 * (len(raw) - sum(b < 0x80 for b in raw)) and (right != "shift_jis" or common * 4 >= east):
+        common = sum("、" <= c <= "ヿ" or c in COMMON_HAN for c in text)
+        if east >= 3 and east * 2 >= 0.8 * (len(raw) - sum(b < 0x80 for b in raw)) and common * 5 >= east:
             return text
     return None
 
 
-def _undo_letters(token: str) -> str | None:
-    """Cyrillic read as Western, or Western read as Cyrillic within Latin words and figures."""
+def _undo_cyrillic(token: str) -> str | None:
+    """Cyrillic read as Western: a word of accented letters alone."""
     letters = [c for c in token if c.isalpha()]
     if len(letters) >= 3 and all("\xc0" <= c <= "\xff" or c in "\xa8\xb8" for c in letters):
         raw = _bytes(token, "cp1252")
@@ -250,6 +260,11 @@ def _undo_letters(token: str) -> str | None:
             text = raw.decode("cp1251", "ignore")
             if all("А" <= c <= "я" or c in "ёЁ" for c in text if c.isalpha()) and not re.search("[а-яё][А-ЯЁ]", text):
                 return text
+    return None
+
+
+def _undo_letters(token: str) -> str | None:
+    """Western read as Cyrillic within Latin words and figures."""
     if _LATIN.search(token) or re.search(r"\d", token):
         cyrillic = _CYRILLIC.findall(token)
         latin = _LATIN.findall(token)
@@ -279,7 +294,7 @@ def repair_token(token: str, found: dict[str, str]) -> str | None:
 
     A token that holds lost characters is garbled even if they can't be brought back: then it comes back as it is.
     """
-    if any(c in _JUNK for c in token) and not any(c > "\x7f" and c.isalpha() for c in token) and not _LOST.search(token):
+    if _junk(token):
         return None
     core = token.strip(_EDGE)
     key = folded(core)

@@ -68,7 +68,9 @@ def _class(ranges) -> str:
 def suspect_pattern() -> str:
     """A word that holds a character of the tables, or Latin letters beside Cyrillic or Greek ones."""
     own = _class([*COMPATIBLE, *MARKS, *[(o, o) for o in (*INVISIBLE, *SPACES)]]) + "".join(_pairs(CYRILLIC_TWINS)) + "".join(_pairs(GREEK_TWINS))
-    return rf"(?<![^ \t\r\n])[^ \t\r\n{own}]*+[{own}][^ \t\r\n]*+"
+    ws, other = r" \t\r\n", r"\x{370}-\x{52F}"
+    mixed = rf"[^{ws}A-Za-z]*+[A-Za-z][^{ws}{other}]*+[{other}]|[^{ws}{other}]*+[{other}][^{ws}A-Za-z]*+[A-Za-z]"
+    return rf"(?<![^{ws}])(?=[^{ws}{own}]*+[{own}]|{mixed})[^{ws}]++"
 
 
 def _context(text: Column) -> dict[str, Column]:

@@ -199,7 +199,7 @@ def assess(text: str, fixes: dict[str, str], pairs: dict[str, bool], model: Line
             keep = labels != HEADER
             lines, labels = [x for x, k in zip(lines, keep) if k], labels[keep]
     body = "\n".join(lines)
-    if STRAY.search(text) or _QUOTE.search(text) and text.count("«") != text.count("»"):
+    if STRAY.search(body) or _QUOTE.search(body) and body.count("«") != body.count("»"):
         kinds.append("stray")
         body = STRAY.sub("", body)
         if body.count("«") != body.count("»"):
