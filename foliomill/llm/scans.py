@@ -29,7 +29,7 @@ MISREAD = (
 WORD = r"[\p{L}\p{M}\p{N}@|$]+(?:[-’'][\p{L}\p{M}\p{N}@|$]+)*"
 _WORD = re.compile(r"[^\W_|@$]*[^\W_](?:[|@$]*[^\W_]+)*|[|@$][^\W_]+")
 DIVIDED = r"(?<![\p{L}\p{M}\p{N}@|’'])[\p{L}\p{M}\p{N}@|’']++[-‐¬=\x{AD}][ \t]*\n[ \t]*[\p{L}\p{M}]+"
-_DIVIDED = re.compile(r"([^\W_]+(?:[’'|@][^\W_]+)*)([-‐¬=\xad])([ \t]*)\n[ \t]*([^\W\d_]+)")
+_DIVIDED = re.compile(r"(?<![^\W_])([^\W_]++(?:[’'|@][^\W_]++)*+)([-‐¬=\xad])([ \t]*)\n[ \t]*([^\W\d_]+)")
 STRAY = re.compile(r"(?<!\S)(?:[~^¦\\_`°·|]|\|_|`'|·:|\. ,)(?!\S)")
 _QUOTE = re.compile(r"(?<!\S)[«»](?!\S)")
 SPREAD = re.compile(r"(?<![^\s(“])(?:[a-zß-öø-ÿ] ){2,}[a-zß-öø-ÿ](?![^\s.,;:)”])|(?<!\S)(?:[^\W\d_] ){4,}[^\W\d_](?!\S)")
