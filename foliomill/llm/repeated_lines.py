@@ -19,8 +19,6 @@ from .common import codes, fresh, mix, span_hashes
 
 #: Letters in the rolling window, and letters a chunk has on average.
 WINDOW, AVERAGE = 4, 16
-#: Parts into which each source is split wherever its rows are brought together.
-SALTS = 64
 
 
 def chunks(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,16 +44,19 @@ def chunks(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return of, np.arange(len(of)) - first, span_hashes(v, start, end)
 
 
-def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct chunks of each text, as one list a row."""
     for b in batches:
         lists = b.column("_lines")
-        flat = lists.flatten().to_pylist()
-        of, number, h = chunks(flat)
+        of, _, h = chunks(lists.flatten().to_pylist())
         parent = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))[of]
-        # a chunk counts once a text
-        frame = pd.DataFrame({"row": parent, "chunk": h.view(np.int64)}).drop_duplicates()
-        n = frame.assign(source=b.column("_source").to_numpy()[frame["row"].to_numpy()]).groupby(["source", "chunk"], sort=False).size().reset_index(name="n")
-        yield pa.RecordBatch.from_pydict({"_source": pa.array(n["source"], pa.int64()), "_chunk": pa.array(n["chunk"], pa.int64()), "n": pa.array(n["n"].astype("int64"))})
+        order = np.lexsort((h, parent))
+        parent, h = parent[order], h[order].view(np.int64)
+        new = np.ones(len(h), bool)
+        new[1:] = (parent[1:] != parent[:-1]) | (h[1:] != h[:-1])
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(parent[new], minlength=len(lists)))])
+        found = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[new], pa.int64()))
+        yield pa.RecordBatch.from_arrays([b.column("_source"), b.column("_doc"), found], names=["_source", "_doc", "_chunks"])
 
 
 def _first_chunks(lines: pd.Series) -> pd.Series:
@@ -73,29 +74,27 @@ def repeated_lines(df: DataFrame, id_col: str, source_col: str, text_col: str, l
     null id or source belong to no source and give nothing; null and empty texts count as ids but have no lines.
     """
     rows = df.where(F.col(id_col).isNotNull() & F.col(source_col).isNotNull()).select(
-        F.col(source_col).alias("_name"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"),
-        F.xxhash64(source_col).alias("_source"), F.pmod(F.xxhash64(id_col), F.lit(SALTS)).alias("_salt"),
+        F.col(source_col).alias("_name"), F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"), F.xxhash64(source_col).alias("_source"), F.xxhash64(id_col).alias("_doc"),
     )
-    # One exchange: by part of the source, on which the removal of repeated rows, the counts a part and the chunks all stand.
-    one = rows.dropDuplicates(["_source", "_salt", "_id"])
-    size = one.groupBy("_source", "_salt").count().groupBy("_source").agg(F.sum("count").alias("_all"))
+    size = rows.select("_source", "_doc").distinct().groupBy("_source").agg(F.count("*").alias("_all"))
     kept = F.filter(
         F.transform(F.split("_text", "\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("line"), F.regexp_replace(F.lower(x), r"[^\p{L}]+", "").alias("_key"))),
         lambda x: F.length(x["_key"]) >= letters,
     )
-    lined = one.select("_name", "_source", "_id", kept.alias("_kept")).where(F.size("_kept") > 0)
-    counted = (
-        lined.select("_source", F.col("_kept._key").alias("_lines")).mapInArrow(_chunk_batches, "_source long, _chunk long, n long")
-        .groupBy("_source", "_chunk").agg(F.sum("n").alias("n"))
-    )
+    lined = rows.select("_name", "_source", "_id", "_doc", kept.alias("_kept")).where(F.size("_kept") > 0)
+    # Texts stay where they are read: only hashes of chunks are exchanged, once to drop repeated rows of an id, by parts of a source,
+    # so that no source is one task, and once pre-aggregated to count.
+    hashed = lined.select("_source", "_doc", F.col("_kept._key").alias("_lines")).mapInArrow(_chunk_lists, "_source long, _doc long, _chunks array<long>")
+    once = hashed.groupBy("_source", "_doc").agg(F.array_distinct(F.flatten(F.collect_set("_chunks"))).alias("_chunks"))
+    counted = once.select("_source", F.explode("_chunks").alias("_chunk")).groupBy("_source", "_chunk").agg(F.count("*").alias("n"))
     enough = F.greatest(F.lit(least), F.ceil(F.col("_all") * F.lit(share) - F.lit(1e-9)))
     often = counted.where(F.col("n") >= least).join(size, "_source").where(F.col("n") >= enough).select("_source", F.col("_chunk").alias("_first"))
-    lines = lined.select("_name", "_source", "_id", F.explode("_kept").alias("_x")).select("_name", "_source", "_id", "_x.*")
+    lines = lined.select("_name", "_source", "_id", "_doc", F.explode("_kept").alias("_x")).select("_name", "_source", "_id", "_doc", "_x.*")
     likely = lines.withColumn("_first", F.pandas_udf(_first_chunks, "long")("_key")).join(often, ["_source", "_first"], "left_semi")
     key = [F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit("k2"), "_key").alias("_h2")]
-    likely = likely.select("_name", "_source", "_id", "line_no", "line", *key)
+    likely = likely.select("_name", "_source", "_id", "_doc", "line_no", "line", *key)
     exact = (
-        likely.select("_source", "_h1", "_h2", "_id").distinct().groupBy("_source", "_h1", "_h2").agg(F.count("*").alias("n"))
+        likely.select("_source", "_h1", "_h2", "_doc").distinct().groupBy("_source", "_h1", "_h2").agg(F.count("*").alias("n"))
         .where(F.col("n") >= least).join(size, "_source").where(F.col("n") >= enough).select("_source", "_h1", "_h2")
     )
     found = likely.join(exact, ["_source", "_h1", "_h2"], "left_semi")
