@@ -151,4 +151,13 @@ c AS (SELECT report_id, letters, count(DISTINCT paragraph_id) AS n FROM k WHERE
 t AS (SELECT report_id, count(DISTINCT paragraph_id) AS total FROM u GROUP BY ALL)
 SELECT DISTINCT paragraph_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN c USING (report_id, letters) JOIN t USING (report_id)
 WHERE unit_type <> 'SECTION_HEADING' AND n >= 5 AND n >= 0.015 * total""",
+    "p10_found": r"""
+WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT doc_id, t, len(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) * 2 <= length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS spaced FROM d),
+u AS (SELECT doc_id, CASE WHEN spaced THEN regexp_extract_all(t, '[\p{L}\p{M}]+') ELSE regexp_extract_all(t, '\p{L}') END AS w, CASE WHEN spaced THEN 8 ELSE 16 END AS k FROM s),
+g AS (SELECT doc_id, k, len(w) AS n, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS grams FROM u WHERE len(w) >= k),
+e AS (SELECT doc_id, k, n, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS nth FROM e),
+c AS (SELECT doc_id, any_value(n) AS n, count(DISTINCT i + o) AS covered FROM r, (SELECT unnest(range(0, 16)) AS o) WHERE nth > 1 AND o < k GROUP BY doc_id)
+SELECT doc_id FROM c WHERE covered * 10 >= n * 3""",
 }
