@@ -145,11 +145,16 @@ def repaired(forms: DataFrame, words: list[str]) -> DataFrame:
     readings = F.pandas_udf(lambda s: s.map(lambda t: list(dict.fromkeys([p for r in _readings(plain(t)) for p in _pairs(r)] + ["^" + plain(t)[:1]]))), "array<string>")
     left = tokens.withColumn("pair", F.explode(readings("token")))
     right = spark.createDataFrame([(w, p) for w in words for p in dict.fromkeys([*_pairs(w), "^" + w[:1]])], "word string, pair string")
-    met = left.join(right, "pair").select("token", "word").distinct()
+    # few bytes but much work a row: as many tasks as there are cores, whatever the size
+    met = left.join(right, "pair").select("token", "word").distinct().repartition(_tasks(forms))
     sim = F.pandas_udf(lambda t, w: pd.Series([similarity(a, b) for a, b in zip(t, w)], dtype="float64"), "double")
     return met.withColumn("sim", sim("token", "word")).where("sim > 0")
 
 
+def _tasks(df: DataFrame) -> int:
+    return max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)
+
+
 class Entries:
     """The reference list: entries with their tokens, and the weight of each word."""
 
@@ -217,14 +222,14 @@ def canonical(df: DataFrame, text_col: str, entries: list[tuple[str, str]], leas
     score the first wins.
     """
     base = df.drop(*[c for c in ("category_code", "match_score") if c != text_col])
-    formed = one_form(base.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, "_normal").select(F.col(text_col).alias("_text"), "_normal")
+    formed = one_form(base.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, "_normal").repartition(_tasks(df)).select(F.col(text_col).alias("_text"), "_normal")
     forms_of = F.pandas_udf(lambda s: s.map(variants), "array<string>")
     by_text = formed.withColumn("_forms", forms_of("_normal"))
     forms = by_text.select(F.explode("_forms").alias("form")).distinct()
     ranked = Entries(entries)
     words = sorted(ranked.weight)
     sims = repaired(forms, words).groupBy("token").agg(F.collect_list(F.struct("word", "sim")).alias("near"))
-    per_form = forms.withColumn("token", F.explode(F.array_distinct(F.split("form", " ")))).join(sims, "token").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near"))
+    per_form = forms.withColumn("token", F.explode(F.array_distinct(F.split("form", " ")))).join(sims, "token").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near")).repartition(_tasks(df))
 
     def rank(form: pd.Series, near: pd.Series) -> pd.DataFrame:
         rows = []
