@@ -198,7 +198,8 @@ def assess(text: str, fixes: dict[str, str], pairs: dict[str, bool], model: Line
             kinds.append("header")
             keep = labels != HEADER
             lines, labels = [x for x, k in zip(lines, keep) if k], labels[keep]
-    body = "\n".join(lines)
+    # notices keep a mark of their own until paragraphs are put together
+    body = "\n".join(_OWN + x if k == NOTICE else x for x, k in zip(lines, labels))
     if STRAY.search(body) or _QUOTE.search(body) and body.count("«") != body.count("»"):
         kinds.append("stray")
         body = STRAY.sub("", body)
@@ -243,9 +244,16 @@ def assess(text: str, fixes: dict[str, str], pairs: dict[str, bool], model: Line
     return _flow(body), kinds
 
 
+#: Marks a line that stands alone; a private-use character, which no repaired text keeps.
+_OWN = "\ue0ff"
+
+
 def _flow(body: str) -> str:
     """Lines of one paragraph run on; a line that ends a sentence well before the others, or stands apart, ends a paragraph."""
-    lines = [x.strip() for x in body.split("\n")]
+    lines = [x.replace(_OWN, "").strip() for x in body.split("\n")]
+    own = [x.startswith(_OWN) for x in body.split("\n")]
+    # a line that goes on in small letters is no notice
+    own = [o and not x[:1].islower() and not (i + 1 < len(lines) and lines[i + 1][:1].islower()) for i, (o, x) in enumerate(zip(own, lines))]
     longest = max((len(x) for x in lines), default=0)
     out: list[str] = []
     for i, x in enumerate(lines):
@@ -254,7 +262,7 @@ def _flow(body: str) -> str:
         if out:
             before = lines[i - 1] if i else ""
             ended = re.search(r"[.!?…。！？।؟][\"”’»)\]」]*$", before)
-            run_on = before and not (ended and (len(before) < 0.7 * longest or x[:1] in "•▪●–")) and (x[:1].islower() or not _apart(before) and not _apart(x))
+            run_on = before and not own[i] and not own[i - 1] and not (ended and (len(before) < 0.7 * longest or x[:1] in "•▪●–")) and (x[:1].islower() or not _apart(before) and not _apart(x))
             if run_on:
                 close = "⺀" <= before[-1] <= "￯" or "฀" <= before[-1] <= "๿"
                 out[-1] += x if close else " " + x
