@@ -46,20 +46,24 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit("k2"), text).alias("_k2")]
 
 
-def rewrite(df: DataFrame, text_col: str, mapping: DataFrame, out: str, pattern: str, context: dict[str, Column] | None = None) -> DataFrame:
+def rewrite(df: DataFrame, text_col: str, mapping: DataFrame, out: str, pattern: str, context: dict[str, Column] | None = None, only: str | None = None) -> DataFrame:
     """Replace white-space separated tokens of text_col by mapping(token, fixed, *context), white space kept as it is.
 
     Adds `out` (the rewritten text) and `{out}_hits` (array of the distinct tokens replaced, null if none).
     Only the tokens found in the mapping come back to their text, in one map a text; its keys are hashes of the text,
-    so nulls and repeated rows need no care. `context` adds equality keys that are computed from the row.
+    so nulls and repeated rows need no care. `context` adds equality keys that are computed from the row. `only` is a pattern
+    of the tokens that the mapping can hold, which keeps the others out of the exchange.
     """
     context = context or {}
     t = F.col(text_col)
     ctx = [c.alias(f"_c_{k}") for k, c in context.items()]
     names = [f"_c_{k}" for k in context]
+    found = F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))
+    if only:
+        found = F.filter(found, lambda x: x.rlike(only))
     tokens = (
-        df.where(t.isNotNull())
-        .select(*text_key(t), *ctx, F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)))).alias("_token"))
+        df.where(t.isNotNull() & (t.rlike(r"[^\x00-\x7F]") if pattern == WIDE_TOKEN else F.lit(True)))
+        .select(*text_key(t), *ctx, F.explode(found).alias("_token"))
     )
     side = mapping.select(F.col("token").alias("_token"), "fixed", *[F.col(k).alias(f"_c_{k}") for k in context])
     per_text = (

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import rewrite
+from .common import WIDE_TOKEN, rewrite
 
 #: Letters of other scripts that look like Latin ones, each followed by the Latin letter.
 CYRILLIC_TWINS = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY аa еe іi јj оo рp сc уy хx ѕs һh ԁd ԛq ԝw ӏl ғf"
@@ -66,19 +66,24 @@ def _class(ranges) -> str:
 
 
 def suspect_pattern() -> str:
-    """A word that holds a character of the tables, or Latin letters beside Cyrillic or Greek ones."""
+    """What makes a word beyond ASCII suspect: a character of the tables, or Latin letters beside Cyrillic or Greek ones."""
     own = _class([*COMPATIBLE, *MARKS, *[(o, o) for o in (*INVISIBLE, *SPACES)]]) + "".join(_pairs(CYRILLIC_TWINS)) + "".join(_pairs(GREEK_TWINS))
-    ws, other = r" \t\r\n", r"\x{370}-\x{52F}"
-    mixed = rf"[^{ws}A-Za-z]*+[A-Za-z][^{ws}{other}]*+[{other}]|[^{ws}{other}]*+[{other}][^{ws}A-Za-z]*+[A-Za-z]"
-    return rf"(?<![^{ws}])(?=[^{ws}{own}]*+[{own}]|{mixed})[^{ws}]++"
+    other = r"\x{370}-\x{52F}"
+    return rf"[{own}]|[A-Za-z][^{other}]*+[{other}]|[{other}][^A-Za-z]*+[A-Za-z]"
+
+
+def _suspects(text: Column) -> Column:
+    """The distinct words of a text that may be out of form. Words are cut out by a pattern that is cheap on ASCII; the tables see the rest only."""
+    found = F.array_distinct(F.regexp_extract_all(text, F.lit(WIDE_TOKEN), F.lit(0)))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(found, lambda w: w.rlike(suspect_pattern())))
 
 
 def _context(text: Column) -> dict[str, Column]:
     """Whether the text has Cyrillic or Greek letters that look like no Latin one, and Latin ones."""
     c, g = _pairs(CYRILLIC_TWINS), _pairs(GREEK_TWINS)
     return {
-        "cyrillic": text.rlike(_outside(c, "\\x{400}-\\x{52F}")),
-        "greek": text.rlike(_outside(g, "\\x{370}-\\x{3FF}")),
+        "cyrillic": F.when(text.rlike(r"[\x{400}-\x{52F}]"), text.rlike(_outside(c, "\\x{400}-\\x{52F}"))).otherwise(False),
+        "greek": F.when(text.rlike(r"[\x{370}-\x{3FF}]"), text.rlike(_outside(g, "\\x{370}-\\x{3FF}"))).otherwise(False),
         "latin": text.rlike("[A-Za-z]{3}"),
     }
 
@@ -92,7 +97,7 @@ def normal_tokens(df: DataFrame, text_col: str) -> DataFrame:
     spark: SparkSession = df.sparkSession
     text = F.col(text_col)
     ctx = _context(text)
-    words = df.where(text.isNotNull()).select(*[c.alias(k) for k, c in ctx.items()], F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(suspect_pattern()), F.lit(0)))).alias("token")).distinct()
+    words = df.where(text.isNotNull()).select(*[c.alias(k) for k, c in ctx.items()], F.explode(_suspects(text)).alias("token")).distinct()
     c, g = _pairs(CYRILLIC_TWINS), _pairs(GREEK_TWINS)
     t = F.col("token")
     own_c, own_g = t.rlike(_outside(c, "\\x{400}-\\x{52F}")), t.rlike(_outside(g, "\\x{370}-\\x{3FF}"))
@@ -144,5 +149,5 @@ def one_form(df: DataFrame, text_col: str, out: str = "normal_text") -> DataFram
     Japanese, fixed spaces before French marks, ordinary quotes, dashes and signs. Null stays null.
     """
     base = df.drop(*[c for c in (out, "out_of_form") if c != text_col])
-    done = rewrite(base, text_col, normal_tokens(base, text_col), out, suspect_pattern(), _context(F.col(text_col)))
+    done = rewrite(base, text_col, normal_tokens(base, text_col), out, WIDE_TOKEN, _context(F.col(text_col)), suspect_pattern())
     return done.withColumn("out_of_form", F.col(f"{out}_hits").isNotNull()).drop(f"{out}_hits")
