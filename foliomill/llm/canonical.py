@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
 from .forms import one_form
 
 #: Least score at which an entry is taken.
@@ -224,7 +225,8 @@ def canonical(df: DataFrame, text_col: str, entries: list[tuple[str, str]], leas
     base = df.drop(*[c for c in ("category_code", "match_score") if c != text_col])
     formed = one_form(base.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, "_normal").repartition(_tasks(df)).select(F.col(text_col).alias("_text"), "_normal")
     forms_of = F.pandas_udf(lambda s: s.map(variants), "array<string>")
-    by_text = formed.withColumn("_forms", forms_of("_normal"))
+    # read four times below, and no larger than the distinct texts
+    by_text = cut(formed.withColumn("_forms", forms_of("_normal")))
     forms = by_text.select(F.explode("_forms").alias("form")).distinct()
     ranked = Entries(entries)
     words = sorted(ranked.weight)
