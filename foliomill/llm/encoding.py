@@ -2,7 +2,8 @@
 
 The distinct words of the corpus that look clean are written in every right encoding and read in every wrong one. Words of documents
 are hash-joined against this table of garbled forms. What the table doesn't hold - words that never stand clean in the
-corpus, sequences cut by line ends - goes through an exact check that undoes each chain and verifies the outcome.
+corpus, sequences cut by line ends - goes through an exact check that undoes UTF-8 read wrongly, Cyrillic read as Western or the
+reverse, KOI8-R and cp1251 taken for each other, and East Asian encodings read as Western, and verifies the outcome.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE_TOKEN, rewrite
+from .common import WIDE_TOKEN, fresh, rewrite
 
 #: Single-byte encodings in which UTF-8 bytes get read, and encodings of other texts with those in which they get read.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866", "cp1253")
@@ -35,6 +36,8 @@ LEGACY = (
 )
 #: Rounds of the double chains.
 TWICE = ("cp1252", "latin-1")
+#: A word that looks clean is garbled if its original stands in so many times as many tokens as it does itself.
+TIMES = 4
 
 RUN = re.compile(r"[^\x00-\x7f]+")
 _UTF8 = re.compile(rb"[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|\xed[\x80-\x9f][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}")
@@ -46,7 +49,12 @@ _LATIN_TWINS = frozenset("ABCEHKMOPTXYaceopxyijs")
 _ODD_CYRILLIC = re.compile("[ЂЃЉЊЋЌЏђѓљњћќџЎўҐґ]")
 #: The commonest Chinese characters, of which right text holds some.
 COMMON_HAN = frozenset("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年得就那要下以生会自着去之过家学对可里后小业部报计公司务市资金产品加工电年度月期本总营增新理管发行成开关")
+#: Pairs (read as, right) that turn Cyrillic letters into Cyrillic ones of the other case.
+SWAPPED = (("cp1251", "koi8-r"), ("koi8-r", "cp1251"))
+#: Fixed value: Russian letters, the commonest first.
+LETTERS = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъё"
 _EDGE = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+_MARKS = _EDGE + "«»„“”‘’…–—•"
 
 _tables: dict[str, tuple[list[str], dict[str, int]]] = {}
 
@@ -91,7 +99,7 @@ def garbled_forms(word: str) -> dict[str, str]:
 
 
 def strange(unit: str) -> bool:
-    """Whether a run or word has a look that clean text doesn't: only such units are looked up."""
+    """Whether a run or word has a look that clean text doesn't: such units are looked up whatever their counts."""
     if _LOST.search(unit) or _ODD_CYRILLIC.search(unit):
         return True
     run = stray = 0
@@ -115,9 +123,18 @@ def folded(core: str) -> str:
 
 
 def units(token: str) -> list[str]:
-    """What of a token is looked up: the whole without ASCII punctuation around it, figures folded, and its runs beyond ASCII."""
-    core = folded(token.strip(_EDGE))
-    return list(dict.fromkeys([core, *RUN.findall(token)]))
+    """What of a token is looked up: the whole without ASCII punctuation around it, and without any, figures folded, and its runs beyond ASCII."""
+    return list(dict.fromkeys([*map(folded, _cores(token)), *RUN.findall(token)]))
+
+
+def _cores(token: str) -> list[str]:
+    return [core for core in dict.fromkeys([token.strip(_EDGE), token.strip(_MARKS)]) if not core.isascii() or core == token.strip(_EDGE)]
+
+
+def wordlike(unit: str, token: str) -> bool:
+    """Whether a unit of a token has letters enough to be judged by counts alone: a word of two, a run within a token of three."""
+    letters = sum(c.isalpha() for c in unit)
+    return letters >= 3 or letters == 2 and unit in map(folded, _cores(token))
 
 
 #: Ranges of characters that an original may hold.
@@ -195,7 +212,7 @@ def _undo(token: str) -> str | None:
     found = _undo_utf8(token)
     if found and found[0][0] <= 0:
         return found[1]
-    return _undo_cyrillic(token) or _undo_eastern(token, wide) or found and found[1] or _undo_wide(token, wide) or _undo_letters(token)
+    return _undo_cyrillic(token) or _undo_swapped(token) or _undo_eastern(token, wide) or found and found[1] or _undo_wide(token, wide) or _undo_letters(token)
 
 
 def _undo_utf8(token: str) -> tuple[tuple[int, int], str] | None:
@@ -263,6 +280,62 @@ def _undo_cyrillic(token: str) -> str | None:
     return None
 
 
+def _swap(token: str, wrong: str, right: str) -> str | None:
+    """A token of Cyrillic letters read in the other Cyrillic encoding; None if it holds or becomes anything else."""
+    letters = [c for c in token if c > "\x7f" and c not in _MARKS]
+    raw = _bytes("".join(letters), wrong) if letters and all(_CYRILLIC.match(c) for c in letters) and not _LATIN.search(token) else None
+    text = read_as(raw, right) if raw else ""
+    if not text or not all("А" <= c <= "я" or c in "ёЁ" for c in text):
+        return None
+    turn = iter(text)
+    return "".join(next(turn) if c > "\x7f" and c not in _MARKS else c for c in token)
+
+
+def _undo_swapped(token: str) -> str | None:
+    """KOI8-R and cp1251 taken for each other: a capitalised word, whose letters all change their case."""
+    core = token.strip(_MARKS)
+    if len(core) > 3 and core[0].islower() and core[1:].isupper():
+        # of the two readings the one of commoner letters
+        texts = [x for wrong, right in SWAPPED if (x := _swap(token, wrong, right))]
+        return min(texts, key=lambda x: sum(map(LETTERS.index, x.strip(_MARKS).lower())), default=None)
+    return None
+
+
+def swapped_runs(text: str, fixed: str) -> str:
+    """The repaired text with the words in it that stand unrepaired in a stretch of KOI8-R and cp1251 taken for each other: too short or too rare
+    to be judged alone, they go with the repaired words beside them, as far as the stretch reaches in their sentence and their case fits."""
+    a, b = re.split(r"([ \t\r\n]+)", text), re.split(r"([ \t\r\n]+)", fixed)
+    if len(a) != len(b):
+        return fixed
+    at = [i for i in range(0, len(a), 2) if a[i]]
+    ends = [bool(re.search(r"[.!?…][\"”»)]*$", a[i])) for i in at]
+    for wrong, right in SWAPPED:
+        known = [a[i] != b[i] == _swap(a[i], wrong, right) for i in at]
+        if not any(known):
+            continue
+        k = 0
+        while k < len(at):
+            if known[k]:
+                k += 1
+                continue
+            first = k
+            while not ends[k] and k + 1 < len(at) and not known[k + 1]:
+                k += 1
+            starts = first == 0 or ends[first - 1]
+            beside = not starts and known[first - 1] or not ends[k] and k + 1 < len(at) and known[k + 1]
+            new = [_swap(a[i], wrong, right) if a[i] == b[i] else None for i in at[first : k + 1]]
+            if beside and all(x and _cased(x.strip(_MARKS), starts and j == 0) for j, x in enumerate(new)):
+                for i, x in zip(at[first : k + 1], new):
+                    b[i] = x
+            k += 1
+    return "".join(b)
+
+
+def _cased(word: str, starts: bool) -> bool:
+    """Whether a word is in small letters, or begins with a capital where it starts a sentence or is a name."""
+    return word.islower() and not starts or word[:1].isupper() and (len(word) > 1 and word[1:].islower() or len(word) == 1 and starts)
+
+
 def _undo_letters(token: str) -> str | None:
     """Western read as Cyrillic within Latin words and figures."""
     if _LATIN.search(token) or re.search(r"\d", token):
@@ -279,8 +352,8 @@ def _undo_letters(token: str) -> str | None:
 
 def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in batches:
-        rows = [(t, u, strange(u), n) for t, n in zip(f["token"], f["n"]) for u in units(t)]
-        yield pd.DataFrame(rows, columns=["token", "unit", "strange", "n"])
+        rows = [(t, u, strange(u), wordlike(u, t), n) for t, n in zip(f["token"], f["n"]) for u in units(t)]
+        yield pd.DataFrame(rows, columns=["token", "unit", "strange", "wordlike", "n"])
 
 
 def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -296,11 +369,11 @@ def repair_token(token: str, found: dict[str, str]) -> str | None:
     """
     if _junk(token):
         return None
-    core = token.strip(_EDGE)
-    key = folded(core)
-    if key in found and len(re.findall(r"\d", core)) == found[key].count("0"):
-        figures = iter(re.findall(r"\d", core))
-        return token.replace(core, re.sub("0", lambda m: next(figures), found[key]), 1)
+    for core in _cores(token):
+        key = folded(core)
+        if key in found and len(re.findall(r"\d", core)) == found[key].count("0"):
+            figures = iter(re.findall(r"\d", core))
+            return token.replace(core, re.sub("0", lambda m: next(figures), found[key]), 1)
     # a run of lost characters alone could have been anything
     out = RUN.sub(lambda m: m.group() if not m.group().strip("�") else found.get(m.group(), m.group()), token)
     left = undo(out)
@@ -316,11 +389,14 @@ def garbled_tokens(df: DataFrame, text_col: str) -> DataFrame:
         .select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(WIDE_TOKEN), F.lit(0)))).alias("token"))
         .groupBy("token").agg(F.count("*").alias("n"))
     )
-    parts = tokens.mapInPandas(_units_of, "token string, unit string, strange boolean, n long")
+    parts = tokens.mapInPandas(_units_of, "token string, unit string, strange boolean, wordlike boolean, n long")
     clean = parts.where("not strange and length(unit) > 0 and length(unit) <= 64").groupBy("unit").agg(F.sum("n").alias("n"))
     table = clean.mapInPandas(_forms, "unit string, original string, chain string, n long")
-    wanted = parts.where("strange").select("token", "unit")
-    best = wanted.join(table, "unit").groupBy("token", "unit").agg(F.max_by("original", F.struct("n", "original")).alias("original"))
+    wanted = parts.where("strange or wordlike and length(unit) <= 64").select("token", "unit", "strange")
+    best = wanted.join(table, "unit").groupBy("token", "unit", "strange").agg(F.max_by("original", F.struct("n", "original")).alias("original"), F.max("n").alias("n"))
+    # forms made of plain letters look like any word: only their counts tell
+    own = clean.select("unit", F.col("n").alias("own"))
+    best = best.join(own, "unit", "left").where(f"strange or n >= own * {TIMES}")
     found = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("unit", "original"))).alias("found"))
     every = tokens.select("token").join(found, "token", "left")
 
@@ -336,5 +412,14 @@ def repair_encoding(df: DataFrame, text_col: str, out: str = "repaired_text") ->
     Bytes that the wrong decoding lost for good stay as U+FFFD. Null stays null and isn't garbled. Equal texts get equal results.
     """
     base = df.drop(*[c for c in (out, "garbled") if c != text_col])
-    done = rewrite(base, text_col, garbled_tokens(base, text_col), out, WIDE_TOKEN)
-    return done.withColumn("garbled", F.col(f"{out}_hits").isNotNull()).drop(f"{out}_hits")
+    before = text_col if out != text_col else fresh(base, "before")
+    kept = base if before == text_col else base.withColumn(before, F.col(text_col))
+    done = rewrite(kept, text_col, garbled_tokens(base, text_col), out, WIDE_TOKEN).withColumn("garbled", F.col(f"{out}_hits").isNotNull())
+
+    def stretch(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([swapped_runs(x, y) if x != y and x is not None else y for x, y in zip(a, b)], dtype=object)
+
+    # no other text is looked at again
+    swapped = F.when(F.col("garbled") & F.col(before).rlike("[Ѐ-ӿ]"), F.col(before))
+    done = done.withColumn(out, F.coalesce(F.pandas_udf(stretch, "string")(swapped, F.when(swapped.isNotNull(), F.col(out))), F.col(out))).drop(f"{out}_hits")
+    return done if before == text_col else done.drop(before)

@@ -49,6 +49,23 @@ def test_words_are_looked_up_in_the_corpus(spark):
     assert got[2] == (True, "Un café modernisé près") and got[3] == (True, "Un café modernisé")
 
 
+def test_forms_of_plain_letters_are_looked_up(spark):
+    good = [(i, "Во втором полугодии завод в районе закрыл сеть продаж. El año señor terminó. Το εργοστάσιο αγόρασε.") for i in range(25)]
+    read = lambda x, right, wrong: x.encode(right).decode(wrong)
+    bad = [
+        (100, read("Во втором полугодии завод Зангунд в районе.", "koi8-r", "cp1251") + " Завод в районе."), (101, read("Завод", "cp1251", "koi8-r") + " «" + read("закрыл", "cp1251", "koi8-r") + "»."),
+        (102, "El " + read("año", "cp1252", "cp1250") + " terminó."), (103, read("εργοστάσιο αγόρασε", "cp1253", "cp1251")), (104, "Во втором районе."), (105, "ЗАО и НДС, ОБ ИТОГАХ. кВт"),
+    ]
+    df = spark.createDataFrame(good + bad, "i int, t string")
+    got = {r["i"]: (r["garbled"], r["repaired_text"]) for r in encoding.repair_encoding(df, "t").collect()}
+    assert got[100] == (True, "Во втором полугодии завод Зангунд в районе. Завод в районе.")
+    assert got[101] == (True, "Завод «закрыл».")
+    assert got[102] == (True, "El año terminó.") and got[103] == (True, "εργοστάσιο αγόρασε")
+    assert not got[0][0] and not got[104][0] and not got[105][0]
+    same = {r["i"]: r["t"] for r in encoding.repair_encoding(df, "t", "t").collect()}
+    assert same[100] == got[100][1] and same[0] == good[0][1]
+
+
 # --- 2
 def test_sentence_model_on_held_out_text(spark):
     r = random.Random(1)
