@@ -19,8 +19,11 @@ from .common import text_key
 
 #: Texts of the bounded sample on which the line model is fitted.
 SAMPLE = 4000
-#: A word is a misreading of another that stands in so many times as many texts, and in so many at least.
+#: A word is a misreading of another that stands in so many times as many texts. Two parts that stand in LEAST texts make a compound.
 TIMES, LEAST = 20, 25
+#: One text that holds a form says little about its share: the first counts for so many texts of the original instead of TIMES,
+#: if the original (of run-together words the rarer part) has so many letters.
+FIRST, LETTERS = 4, 5
 #: What scans show, and what was printed.
 MISREAD = (
     ("c", "e"), ("e", "c"), ("0", "o"), ("@", "a"), ("5", "s"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("1", "l"), ("1", "i"), ("ii", "u"), ("9", "g"), ("cl", "d"), ("b", "h"),
@@ -151,17 +154,28 @@ def vocabulary(df: DataFrame, text_col: str) -> DataFrame:
 
 
 def word_repairs(words: DataFrame) -> DataFrame:
-    """(token, fixed): words that are misreadings of, or run together from, far commoner words."""
-    # a word that could only be explained by one in TIMES as many texts is looked up; commoner ones can't be
+    """(token, fixed): words that are misreadings of, or run together from, far commoner words.
+
+    Far commoner are words in TIMES as many texts (a misread figure needs 4 times as many), and of LETTERS letters also those in
+    FIRST + TIMES * (n - 1) texts for n of the form, which only tells for rare originals. Words in fewer than FIRST texts explain nothing.
+    """
     tried = words.mapInPandas(_candidates, "word string, n long, first string, second string, how string")
-    known = words.where(F.col("n") >= LEAST).where(~F.col("word").rlike(r"[@|$\p{N}]"))
+    known = words.where(F.col("n") >= FIRST).where(~F.col("word").rlike(r"[@|$\p{N}]"))
     a = known.select(F.col("word").alias("first"), F.col("n").alias("n1"))
     hit = tried.join(a, "first").where("n1 >= n * 4")
-    misread = hit.where(f"how = 'misread' and (n1 >= n * {TIMES} or word rlike '[0-9@|$]')").select("word", F.col("n1").alias("score"), F.col("first").alias("fixed"))
+    rare = f"{FIRST} + {TIMES} * (n - 1)"
+    misread = hit.where(f"how = 'misread' and (n1 >= n * {TIMES} or word rlike '[0-9@|$]' or n1 >= {rare} and length(first) >= {LETTERS})").select("word", F.col("n1").alias("score"), F.col("first").alias("fixed"))
     b = known.select(F.col("word").alias("second"), F.col("n").alias("n2"))
+    both = (
+        "length(first) > 2 and length(second) > 2 or n1 >= 2000 * n and length(second) > 3 or n2 >= 2000 * n and length(first) > 3 or length(first) + length(second) > 8 and least(n1, n2) >= 40 * n"
+    )
+    # scripts without spaces run words together by right, and a short rare part is a piece of a divided word
+    one = (
+        f"least(n1, n2) >= {rare} and greatest(n1, n2) >= n * {TIMES * 5} and length(if(n1 <= n2, first, second)) > {LETTERS} and length(if(n1 <= n2, second, first)) > 2"
+        r" and word rlike '^[\\p{IsLatin}\\p{IsCyrillic}\\p{IsGreek}]+$'"
+    )
     joined = (
-        hit.where(f"how = 'joined' and n1 >= n * {TIMES}").join(b, "second").where(f"n2 >= n * {TIMES}")
-        .where("length(first) > 2 and length(second) > 2 or n1 >= 2000 * n and length(second) > 3 or n2 >= 2000 * n and length(first) > 3 or length(first) + length(second) > 8 and least(n1, n2) >= 40 * n")
+        hit.where("how = 'joined'").join(b, "second").where(f"least(n1, n2) >= n * {TIMES} and ({both}) or {one}")
         .select("word", F.least("n1", "n2").alias("score"), F.concat_ws(" ", "first", "second").alias("fixed"))
     )
     return misread.unionByName(joined).groupBy("word").agg(F.max_by("fixed", F.struct("score", "fixed")).alias("fixed")).select(F.col("word").alias("token"), "fixed")
@@ -236,7 +250,7 @@ def assess(text: str, fixes: dict[str, str], pairs: dict[str, bool], model: Line
             for a, b in (("0", "o"), ("1", "l"), ("5", "s"), ("9", "g"), ("@", "a"), ("|", "l"), ("8", "b"), ("$", "s")):
                 good = good.replace(a, b)
             return good[0].upper() + good[1:] if w[0] in "0|" else good
-        return good.upper() if w.isupper() and len(w) > 1 else good[0].upper() + good[1:] if w[0].isupper() else good
+        return good.upper() if w.isupper() and len(w) > 1 else good[0].upper() + good[1:] if w[0].isupper() or w[0] in "8|" else good
 
     body = _WORD.sub(fix, body)
     if changed:

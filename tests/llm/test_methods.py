@@ -125,6 +125,15 @@ def test_scan_damage(spark):
     assert got[1005] == ({"joined"}, "The supply contract was steady.") and got[1007] == ({"misread"}, "The supply was steady.")
 
 
+def test_rare_originals_explain_damage(spark):
+    rows = [(i, f"The unit reports to the plant number {i}.") for i in range(120)] + [(200 + i, f"Praquinewadi and Ilvmorawadi {i} rose.") for i in range(8)] + [(300 + i, "Ashes were casing.") for i in range(4)]
+    bad = [(1000, "Near Praquinevvadi it rose."), (1001, "The Ilvmorawadiunit rose."), (1002, "Near Pr@quinewadi it rose."), (1003, "Ashes were easing."), (1004, "Ashes were easing it."), (1005, "Praquinewadis"), (1006, "Ashesunit"), (1007, "Near |lvmorawadi it rose.")]
+    got = {r["i"]: (r["scan_damage"], r["readable_text"]) for r in scans.repair_scans(spark.createDataFrame(rows + bad, "i int, t string"), "t").collect()}
+    assert got[1000] == (["misread"], "Near Praquinewadi it rose.") and got[1002] == (["misread"], "Near Praquinewadi it rose.")
+    assert got[1001] == (["joined"], "The Ilvmorawadi unit rose.") and got[1007] == (["misread"], "Near Ilvmorawadi it rose.")
+    assert all(got[i] == ([], t) for i, t in bad[3:7]) and got[200][0] == [] and got[300][0] == []
+
+
 # --- 5
 def test_repeated_lines_against_brute_force(spark):
     r = random.Random(3)
