@@ -27,7 +27,9 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir).where("unit_type <> 'SECTION_HEADING' and text_source = 'native' and not contains(paragraph_text, '\n')")
-    ends = sentences.sentence_ends(p.select("paragraph_id", "paragraph_text"), "paragraph_text")
+    # counts come from all units, those of many lines too, weights from units like those that are split
+    model = sentences.fit(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text").distinct(), "paragraph_text", like=p)
+    ends = sentences.sentence_ends(p.select("paragraph_id", "paragraph_text"), "paragraph_text", model)
     rows = ends.select("paragraph_id", F.explode(F.slice("sentence_ends", 1, F.greatest(F.size("sentence_ends") - 1, F.lit(0)))).alias("end_char"))
     return rows.join(p3_found(spark, sf_dir), "paragraph_id", "left_anti").distinct()
 

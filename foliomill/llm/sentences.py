@@ -235,14 +235,15 @@ def text_space(text: str, at: int) -> bool:
     return at >= len(text) or text[at].isspace()
 
 
-def fit(df: DataFrame, text_col: str, sample: int = SAMPLE) -> Boundaries:
-    """Counts over all texts of df, and weights from `sample` distinct texts with the lowest hash."""
+def fit(df: DataFrame, text_col: str, sample: int = SAMPLE, like: DataFrame | None = None) -> Boundaries:
+    """Counts over all texts of df, and weights from `sample` distinct texts with the lowest hash, of `like` if given."""
     texts = df.where(F.length(F.trim(text_col)) > 0).select(F.col(text_col).alias("t"))
     counted = texts.mapInPandas(_counts, "kind int, bucket int, n long").groupBy("kind", "bucket").agg(F.sum("n").alias("n"))
     tables = np.zeros((4, BUCKETS), np.int64)
     got = counted.toPandas()  # at most four counts a bucket
     tables[got["kind"], got["bucket"]] = got["n"]
-    few = [r["t"] for r in texts.distinct().orderBy(F.xxhash64("t"), "t").limit(sample).collect()]
+    shown = texts if like is None else like.where(F.length(F.trim(text_col)) > 0).select(F.col(text_col).alias("t"))
+    few = [r["t"] for r in shown.distinct().orderBy(F.xxhash64("t"), "t").limit(sample).collect()]
     return Boundaries(*tables).fit(few)
 
 

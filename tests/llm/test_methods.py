@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from foliomill.llm import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition, scans, sentences
+from foliomill.llm import canonical, encoding, forms, mixing, packing, quality, queries, repeated_lines, repetition, scans, sentences
 from foliomill.llm.checked import JUNK, PROSE
 
 WORDS = "the plant tested a pump near river while margins held steady and lenders took note of every report from our mill".split()
@@ -94,6 +94,15 @@ def test_sentence_model_on_held_out_text(spark):
     assert "".join(x["sentence_text"] + " " for x in got if x["i"] == units[600][0]).strip() == units[600][1]
 
 
+def test_sentence_counts_come_from_all_units(spark, tmp_path, monkeypatch):
+    rows = [("a", "PARAGRAPH", "native", "The plant grew. It rose."), ("b", "PARAGRAPH", "native", "The plant\ngrew."), ("c", "SECTION_HEADING", "native", "Outlook"), ("d", "PARAGRAPH", "ocr", "Margins held.")]
+    spark.createDataFrame(rows, "paragraph_id string, unit_type string, text_source string, paragraph_text string").write.parquet(f"{tmp_path}/mda_paragraph_level.parquet")
+    seen, fit = [], sentences.fit
+    monkeypatch.setattr(sentences, "fit", lambda df, *a, **k: seen.append({r["paragraph_text"] for r in df.collect()}) or fit(df, *a, **k))
+    queries.p2_found(spark, str(tmp_path))
+    assert seen == [{t for *_, t in rows}]
+
+
 # --- 3
 def test_statistics_and_kinds(spark):
     rows = [(i, t) for i, t in enumerate([*PROSE, *JUNK] * 8)]
