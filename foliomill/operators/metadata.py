@@ -21,15 +21,22 @@ def year_range(a: Column, b: Column) -> Column:
 
 
 def fiscal_year(body: Column, name: Column) -> Column:
-    """struct(year, confidence): a range after a sure word, a year ended in March, any range, one in the name, a year in the name."""
+    """struct(year, confidence): a range after a sure word, a year ended in March, the commonest range (of equals the first), one in the name, a year in the name."""
     def ranged(c: Column, before: str = "") -> Column:
         a, b = F.regexp_extract(c, before + RANGE, 1), F.regexp_extract(c, before + RANGE, 2)
         return F.when(a != "", year_range(a, b))
 
+    def commonest(c: Column) -> Column:
+        found = F.transform(F.regexp_extract_all(c, F.lit(RANGE), F.lit(0)), lambda x: year_range(F.regexp_extract(x, RANGE, 1), F.regexp_extract(x, RANGE, 2)))
+        # arrays of one element, so that each step is worked out once
+        tally = F.transform(F.array(found), lambda xs: F.transform(F.array_distinct(xs), lambda d: F.struct(F.size(F.filter(xs, lambda x: x == d)).alias("n"), d.alias("year"))))
+        best = F.transform(tally, lambda t: F.aggregate(t, F.lit(None).cast("struct<n:int,year:string>"), lambda a, x: F.when(a.isNull() | (x["n"] > a["n"]), x).otherwise(a)))
+        return F.element_at(best, 1)["year"]
+
     march = F.regexp_extract(T.text(body), MARCH, 1)
     ended = F.when(march != "", F.concat_ws("-", (march.try_cast("int") - 1).cast("string"), F.right(march, F.lit(2))))
     single = F.regexp_extract(T.text(name), "(20[0-9]{2})", 1)
-    tiers = ((ranged(T.text(body), SURE), "high"), (ended, "high"), (ranged(T.text(body)), "medium"), (ranged(T.text(name)), "medium"), (F.when(single != "", single), "low"))
+    tiers = ((ranged(T.text(body), SURE), "high"), (ended, "high"), (commonest(T.text(body)), "medium"), (ranged(T.text(name)), "medium"), (F.when(single != "", single), "low"))
     out = F.struct(F.lit("Year not detected").alias("year"), F.lit("none").alias("confidence"))
     for value, confidence in reversed(tiers):
         out = F.when(value.isNotNull(), F.struct(value.alias("year"), F.lit(confidence).alias("confidence"))).otherwise(out)

@@ -132,6 +132,13 @@ def test_fiscal_year(spark):
     assert got == [("2019-20", "high"), ("2017-18", "high"), ("2012-13", "medium"), ("2010-11", "medium"), ("2009", "low"), ("Year not detected", "none")]
 
 
+def test_fiscal_year_takes_the_commonest_range(spark):
+    rows = [("Since 2018-19 much changed: 2019-20, 2019/2020 and 2019 – 20.", "2019-20"), ("2011-12, 2012-13, 2012-13, 2011-12", "2011-12"), ("2018-199 or 2017-18", "2017-18")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, want string")
+    got = df.select("want", metadata.fiscal_year(F.col("t"), F.lit("x_2001-02")).alias("y")).collect()
+    assert [(r["y"]["year"], r["y"]["confidence"]) for r in got] == [(r["want"], "medium") for r in got]
+
+
 def test_search(spark):
     df = spark.createDataFrame([(1, "aXbxc"), (2, None), (3, "none")], "i int, t string")
     assert [(r["i"], r["at"]) for r in search.snippets(df, ["i"], "t", "X").collect()] == [(1, 2), (1, 4)]
