@@ -60,14 +60,14 @@ def multiset_minus(lines: DataFrame, other: DataFrame, keys: list[str], value: s
 
 
 def alias_hits(lines: DataFrame, keys: list[str], aliases: DataFrame) -> DataFrame:
-    """Best line of each group for each label: 48 points if it is an alias, 42 if it holds one, fewer for longer lines.
+    """Best line of each group for each label: 48 points if it is an alias, 42 if it holds one, fewer for longer lines, by 20 at most however long.
 
     `aliases` (label, alias) is a reference list; lines meet it by the first three letters of the alias within their compact form,
     so nothing is crossed.
     """
     compact = T.compact(F.col("line"))
     wanted = aliases.withColumn("_c", T.compact(F.col("alias"))).where(F.length("_c") >= 3).select("label", "_c", F.substring("_c", 1, 3).alias("_g"))
-    grams = lines.withColumn("_l", compact).where((F.length("_l") >= 3) & (F.length("_l") <= 400))
+    grams = lines.withColumn("_l", compact).where(F.length("_l") >= 3)
     grams = grams.withColumn("_g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("_l") - 2), lambda i: F.substr("_l", i, F.lit(3))))))
     hits = grams.join(wanted, "_g").where(F.contains("_l", "_c"))
     score = F.when(F.col("_l") == F.col("_c"), 48).otherwise(42) - F.least(F.lit(20), (F.length("_l") - F.length("_c")) / 4).cast("int")

@@ -27,6 +27,14 @@ def test_windows_and_context(spark):
     assert [r["context"] for r in lines.line_context(l, ["k"], 1, 1).orderBy("line_no").collect()] == ["p q", "p q r", "q r"]
 
 
+def test_alias_in_a_line_of_any_length(spark):
+    long = "x" * 500 + " Risk Factors " + "y" * 5000
+    df = spark.createDataFrame([("a", 1, long), ("b", 1, long), ("b", 2, "Risk Factors"), ("c", 1, "x" * 500)], "k string, line_no int, line string")
+    refs = spark.createDataFrame([("RISK", "Risk factors")], "label string, alias string")
+    got = {r["k"]: (r["label"], r["score"], r["line_no"]) for r in lines.alias_hits(df, ["k"], refs).collect()}
+    assert got == {"a": ("RISK", 22, 1), "b": ("RISK", 48, 2)}
+
+
 def test_multiset_difference_counts_repeats(spark):
     s = "k string, line_no int, line string"
     a = spark.createDataFrame([("a", i, "x") for i in range(3)] + [("a", 9, "y")], s)
