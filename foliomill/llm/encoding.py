@@ -1,23 +1,27 @@
 """Problem 1: text decoded with the wrong encoding.
 
-The distinct words of the corpus that look clean are written in every right encoding and read in every wrong one. Words of documents
-are hash-joined against this table of garbled forms. What the table doesn't hold - words that never stand clean in the
-corpus, sequences cut by line ends - goes through an exact check that undoes UTF-8 read wrongly, Cyrillic read as Western or the
+The distinct words of the corpus that look clean, the runs beyond ASCII in them and their single letters are written in every right encoding
+and read in every wrong one. Words of documents are hash-joined against this table of garbled forms: whole, by their runs, and by the
+pieces of a run that may stand for one letter. What the table doesn't explain - letters that never stand clean in the corpus,
+sequences cut by line ends, lost bytes - goes through an exact check that undoes UTF-8 read wrongly, Cyrillic read as Western or the
 reverse, KOI8-R and cp1251 taken for each other, and East Asian encodings read as Western, and verifies the outcome.
 """
 
 from __future__ import annotations
 
+import functools
 import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WIDE_TOKEN, fresh, rewrite
+from .common import WIDE_TOKEN, bitmap, cut, fresh, in_bitmap, large, rewrite, salted, spread, text_key
 
 #: Single-byte encodings in which UTF-8 bytes get read, and encodings of other texts with those in which they get read.
 WRONG = ("cp1252", "latin-1", "mac_roman", "cp437", "cp850", "cp1251", "cp1250", "koi8-r", "cp866", "cp1253")
@@ -34,6 +38,10 @@ LEGACY = (
     ("gbk", ("cp1252", "latin-1")),
     ("big5", ("cp1252", "latin-1")),
 )
+#: Units longer than this are passages of a script without spaces, whose words are its letters: they are garbled and looked up letter by letter.
+LONG = 64
+#: Characters that one letter takes in a single-byte reading, once or twice, the most first.
+PIECES = tuple(range(9, 1, -1))
 #: Rounds of the double chains.
 TWICE = ("cp1252", "latin-1")
 #: A word that looks clean is garbled if its original stands in so many times as many tokens as it does itself.
@@ -78,7 +86,11 @@ def read_as(raw: bytes, wrong: str) -> str:
 
 
 def garbled_forms(word: str) -> dict[str, str]:
-    """Every chain's form of a clean word, as far as it differs from the word."""
+    """Every chain's form of a clean word, as far as it differs from the word; of a letter those of its UTF-8 sequence in single-byte readings."""
+    if word[:1] == LETTER:
+        raw = word[1:].encode("utf-8", "replace")
+        once = {f"utf-8>{wrong}": LETTER + read_as(raw, wrong) for wrong in WRONG}
+        return once | {f"utf-8>{wrong}>utf-8>{wrong}": LETTER + read_as(once[f"utf-8>{wrong}"][1:].encode(), wrong) for wrong in TWICE}
     raw, out = word.encode("utf-8", "replace"), {}
     for wrong in WRONG:
         out[f"utf-8>{wrong}"] = read_as(raw, wrong)
@@ -350,22 +362,75 @@ def _undo_letters(token: str) -> str | None:
     return None
 
 
-def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in batches:
-        rows = [(t, u, strange(u), wordlike(u, t), n) for t, n in zip(f["token"], f["n"]) for u in units(t)]
-        yield pd.DataFrame(rows, columns=["token", "unit", "strange", "wordlike", "n"])
+#: Marks letters and their forms, which are looked up apart from words.
+LETTER = "\0"
 
 
-def _forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in batches:
-        rows = [(g, u, chain, n) for u, n in zip(f["unit"], f["n"]) for chain, g in garbled_forms(u).items() if not g.isascii()]
-        yield pd.DataFrame(rows, columns=["unit", "original", "chain", "n"])
+@functools.cache
+def _leads_of() -> tuple[frozenset[str], frozenset[str]]:
+    """Characters that the first byte of a UTF-8 sequence is read as, and those that the second is."""
+    return tuple(frozenset(_table(wrong)[0][b] for wrong in WRONG for b in some) for some in (range(0xC2, 0xF5), range(0x80, 0xC0)))
+
 
+def pieces(unit: str) -> set[str]:
+    """What of a unit may be the form of one letter in UTF-8, whose sequences show where they begin."""
+    first, second = _leads_of()
+    found = set()
+    for run in RUN.findall(unit):
+        for i in range(len(run) - 1):
+            if run[i] in first and run[i + 1] in second:
+                found.update(run[i : i + size] for size in PIECES if i + size <= len(run))
+    return {x for x in found if "�" not in x and strange(x)}
 
-def repair_token(token: str, found: dict[str, str]) -> str | None:
-    """The token with looked-up originals in place, then the exact check on what is left; None if it isn't garbled.
 
-    A token that holds lost characters is garbled even if they can't be brought back: then it comes back as it is.
+def in_pieces(run: str, found: dict[str, str]) -> str:
+    """The run read letter by letter, the longest forms first; as it was if that leaves anything of it unexplained."""
+    out, i = [], 0
+    while i < len(run):
+        size = next((k for k in PIECES if LETTER + run[i : i + k] in found), 0)
+        if not size:
+            return run
+        out.append(found[LETTER + run[i : i + size]][1:])
+        i += size
+    return "".join(out)
+
+
+def _units_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Units by the hashes of their token; the token itself stands in one row, without a unit, and clean letters belong to none."""
+    for f in batches:
+        rows: list[tuple] = []
+        letters: Counter = Counter()
+        for a, b, t, n in zip(f["_k1"], f["_k2"], f["token"], f["n"]):
+            rows.append((a, b, t, "", False, False, n))
+            for u in units(t):
+                odd = strange(u)
+                if len(u) <= LONG:
+                    rows.append((a, b, None, u, odd, wordlike(u, t), n))
+                if odd:
+                    rows += [(a, b, None, LETTER + x, True, False, n) for x in pieces(u)]
+                else:
+                    letters.update({x: n for x in {*u} if x > "\x7f" and not strange(x)})
+        rows += [(0, 0, None, LETTER + x, False, False, n) for x, n in letters.items()]
+        yield pd.DataFrame(rows, columns=["_k1", "_k2", "token", "unit", "strange", "wordlike", "n"])
+
+
+def _forms(shared: Broadcast) -> Callable:
+    """The table of garbled forms, those left out that the bitmap of the units looked up doesn't hold."""
+
+    def forms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = shared.value
+        for f in batches:
+            rows = [(g, u, chain, n) for u, n in zip(f["unit"], f["n"]) for chain, g in garbled_forms(u).items() if not g.isascii() and in_bitmap(bits, g)]
+            yield pd.DataFrame(rows, columns=["unit", "original", "chain", "n"])
+
+    return forms
+
+
+def repair_token(token: str, found: dict[str, str]) -> tuple[str, str] | None:
+    """The token with looked-up originals in place, then the exact check on what is left, and by which way; None if it isn't garbled.
+
+    A token that holds lost characters is garbled even if they can't be brought back: then it comes back as it is. Ways are TABLE, CHECK
+    (the table has nothing of the token), BOTH and LOST.
     """
     if _junk(token):
         return None
@@ -373,48 +438,55 @@ def repair_token(token: str, found: dict[str, str]) -> str | None:
         key = folded(core)
         if key in found and len(re.findall(r"\d", core)) == found[key].count("0"):
             figures = iter(re.findall(r"\d", core))
-            return token.replace(core, re.sub("0", lambda m: next(figures), found[key]), 1)
+            return token.replace(core, re.sub("0", lambda m: next(figures), found[key]), 1), "TABLE"
     # a run of lost characters alone could have been anything
-    out = RUN.sub(lambda m: m.group() if not m.group().strip("�") else found.get(m.group(), m.group()), token)
+    out = RUN.sub(lambda m: m.group() if not m.group().strip("�") else found.get(m.group()) or in_pieces(m.group(), found), token)
     left = undo(out)
     if left is not None:
-        return left
-    return out if out != token or _LOST.search(token) else None
-
-
-def garbled_tokens(df: DataFrame, text_col: str) -> DataFrame:
-    """(token, fixed): the distinct garbled tokens of the whole table with their originals."""
-    tokens = (
-        df.where(F.col(text_col).isNotNull())
-        .select(F.explode(F.array_distinct(F.regexp_extract_all(F.col(text_col), F.lit(WIDE_TOKEN), F.lit(0)))).alias("token"))
-        .groupBy("token").agg(F.count("*").alias("n"))
-    )
-    parts = tokens.mapInPandas(_units_of, "token string, unit string, strange boolean, wordlike boolean, n long")
-    clean = parts.where("not strange and length(unit) > 0 and length(unit) <= 64").groupBy("unit").agg(F.sum("n").alias("n"))
-    table = clean.mapInPandas(_forms, "unit string, original string, chain string, n long")
-    wanted = parts.where("strange or wordlike and length(unit) <= 64").select("token", "unit", "strange")
-    best = wanted.join(table, "unit").groupBy("token", "unit", "strange").agg(F.max_by("original", F.struct("n", "original")).alias("original"), F.max("n").alias("n"))
+        return left, "CHECK" if out == token else "BOTH"
+    return (out, "TABLE" if out != token else "LOST") if out != token or _LOST.search(token) else None
+
+
+def _tokens(df: DataFrame, text_col: str) -> DataFrame:
+    t = F.col(text_col)
+    return df.where(t.isNotNull() & t.rlike(r"[^\x00-\x7F]")).select(F.explode(F.array_distinct(F.regexp_extract_all(t, F.lit(WIDE_TOKEN), F.lit(0)))).alias("token"))
+
+
+def garbled_tokens(df: DataFrame, text_col: str, of: DataFrame | None = None) -> DataFrame:
+    """(token, fixed, way): the distinct garbled tokens of the whole table, or of `of` alone, with the originals that the whole table gives."""
+    key = ["_k1", "_k2"]
+    tokens = _tokens(df, text_col).groupBy("token").agg(F.count("*").alias("n")).select(*text_key(F.col("token")), "token", "n")
+    parts = cut(spread(tokens).mapInPandas(_units_of, "_k1 long, _k2 long, token string, unit string, strange boolean, wordlike boolean, n long"))
+    clean = parts.where("not strange and length(unit) > 0").groupBy("unit").agg(F.sum("n").alias("n"))
+    asked = parts if of is None else parts.join(large(_tokens(of, text_col).select(*text_key(F.col("token"))).distinct()), key, "left_semi")
+    wanted = asked.where("length(unit) > 0 and (strange or wordlike)").select(*key, "unit", "strange")
+    looked_up = df.sparkSession.sparkContext.broadcast(bitmap(wanted, "unit"))  # of fixed size
+    # one original a form before anything is joined: a lost character is the form of thousands
+    table = spread(clean).mapInPandas(_forms(looked_up), "unit string, original string, chain string, n long").groupBy("unit").agg(F.max_by("original", F.struct("n", "original")).alias("original"), F.max("n").alias("n"))
     # forms made of plain letters look like any word: only their counts tell
     own = clean.select("unit", F.col("n").alias("own"))
-    best = best.join(own, "unit", "left").where(f"strange or n >= own * {TIMES}")
-    found = best.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct("unit", "original"))).alias("found"))
-    every = tokens.select("token").join(found, "token", "left")
+    best = wanted.select("unit", "strange").distinct().join(large(table), "unit").join(large(own), "unit", "left").where(f"strange or n >= own * {TIMES}").select("unit", "strange", "original")
+    found = salted(wanted, best, ["unit", "strange"], F.col("_k1")).groupBy(*key).agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("unit", "original")))).alias("found"))
+    every = spread(asked.where("unit = ''").select(*key, "token").join(large(found), key, "left"))
 
-    def repair(token: pd.Series, maps: pd.Series) -> pd.Series:
-        return pd.Series([repair_token(t, dict(m) if m is not None else {}) for t, m in zip(token, maps)], dtype=object)
+    def repair(token: pd.Series, maps: pd.Series) -> pd.DataFrame:
+        rows = [repair_token(t, dict(m) if m is not None else {}) or (None, None) for t, m in zip(token, maps)]
+        return pd.DataFrame(rows, columns=["fixed", "way"])
 
-    return every.withColumn("fixed", F.pandas_udf(repair, "string")("token", "found")).where("fixed is not null").select("token", "fixed")
+    return every.select("token", F.pandas_udf(repair, "fixed string, way string")("token", "found").alias("_r")).where("_r.fixed is not null").select("token", "_r.*")
 
 
-def repair_encoding(df: DataFrame, text_col: str, out: str = "repaired_text") -> DataFrame:
+def repair_encoding(df: DataFrame, text_col: str, out: str = "repaired_text", corpus: DataFrame | None = None) -> DataFrame:
     """Every row of df with `out`, the text as it was before wrong decoding, and `garbled`; columns of those names are replaced.
 
+    Clean words and counts come from all texts of `corpus`, a table with the same text column that holds those of df; it is df if not given.
     Bytes that the wrong decoding lost for good stay as U+FFFD. Null stays null and isn't garbled. Equal texts get equal results.
     """
     base = df.drop(*[c for c in (out, "garbled") if c != text_col])
     before = text_col if out != text_col else fresh(base, "before")
     kept = base if before == text_col else base.withColumn(before, F.col(text_col))
-    done = rewrite(kept, text_col, garbled_tokens(base, text_col), out, WIDE_TOKEN).withColumn("garbled", F.col(f"{out}_hits").isNotNull())
+    mapping = garbled_tokens(base, text_col) if corpus is None else garbled_tokens(corpus, text_col, base)
+    done = rewrite(kept, text_col, mapping, out, WIDE_TOKEN).withColumn("garbled", F.col(f"{out}_hits").isNotNull())
 
     def stretch(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([swapped_runs(x, y) if x != y and x is not None else y for x, y in zip(a, b)], dtype=object)
