@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WIDE_TOKEN, rewrite
+from .common import WIDE_TOKEN, cut, large, rewrite, spread
 
 #: Letters of other scripts that look like Latin ones, each followed by the Latin letter.
 CYRILLIC_TWINS = "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT УY ХX ҮY аa еe іi јj оo рp сc уy хx ѕs һh ԁd ԛq ԝw ӏl ғf"
@@ -65,17 +65,31 @@ def _class(ranges) -> str:
     return "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in ranges)
 
 
-def suspect_pattern() -> str:
-    """What makes a word beyond ASCII suspect: a character of the tables, or Latin letters beside Cyrillic or Greek ones."""
-    own = _class([*COMPATIBLE, *MARKS, *[(o, o) for o in (*INVISIBLE, *SPACES)]]) + "".join(_pairs(CYRILLIC_TWINS)) + "".join(_pairs(GREEK_TWINS))
-    other = r"\x{370}-\x{52F}"
-    return rf"[{own}]|[A-Za-z][^{other}]*+[{other}]|[{other}][^A-Za-z]*+[A-Za-z]"
+def _merged(ranges) -> list[tuple[int, int]]:
+    """Ranges in order, those that touch made one: a short class is matched much faster."""
+    out: list[list[int]] = []
+    for a, b in sorted(ranges):
+        if out and a <= out[-1][1] + 1:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return [(a, b) for a, b in out]
+
+
+#: A character of the tables, and Latin letters beside Cyrillic or Greek ones.
+OWN = "[" + _class(_merged([*COMPATIBLE, *MARKS, *[(o, o) for o in (*INVISIBLE, *SPACES, *map(ord, _pairs(CYRILLIC_TWINS)), *map(ord, _pairs(GREEK_TWINS)))]])) + "]"
+MIXED = r"[A-Za-z][^\x{370}-\x{52F}]*+[\x{370}-\x{52F}]|[\x{370}-\x{52F}][^A-Za-z]*+[A-Za-z]"
+
+
+def suspect(word: Column) -> Column:
+    """Whether a word beyond ASCII may be out of form."""
+    return word.rlike(OWN) | word.rlike(MIXED)
 
 
 def _suspects(text: Column) -> Column:
     """The distinct words of a text that may be out of form. Words are cut out by a pattern that is cheap on ASCII; the tables see the rest only."""
     found = F.array_distinct(F.regexp_extract_all(text, F.lit(WIDE_TOKEN), F.lit(0)))
-    return F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(found, lambda w: w.rlike(suspect_pattern())))
+    return F.when(text.rlike(r"[^\x00-\x7F]"), F.filter(found, suspect))
 
 
 def _context(text: Column) -> dict[str, Column]:
@@ -106,7 +120,8 @@ def normal_tokens(df: DataFrame, text_col: str) -> DataFrame:
     # Letters that can only be Latin or only be Cyrillic (Greek) say what a mixed word is; without any, its text does.
     only_latin_c = t.rlike(f"[a-zA-ZÀ-ɏ&&[^{latin_twins}]]")
     only_latin_g = t.rlike(f"[a-zA-ZÀ-ɏ&&[^{''.join(sorted({*g.values()}))}]]")
-    words = words.withColumns({
+    # read three times below: the texts are gone through once
+    words = cut(spread(words)).withColumns({
         "_cyr": ~own_c & (only_latin_c | ~F.col("cyrillic") & F.col("latin")),
         "_grk": ~own_g & (only_latin_g | ~F.col("greek") & F.col("latin")),
         "_to_cyr": own_c & ~only_latin_c & has_latin,
@@ -132,13 +147,14 @@ def normal_tokens(df: DataFrame, text_col: str) -> DataFrame:
     # marks stay with the starter before them and are ordered by class
     single = mapped.select(*key, "_pos", F.posexplode(F.split("_s", "")).alias("_sub", "_ch")).where("_ch != ''")
     rank = F.pandas_udf(lambda s: s.map(lambda ch: unicodedata.combining(ch[0]) if ch else 0).astype("int32"), "int")
+    # Unicode bounds the combining marks
     marked = single.where(F.col("_ch").rlike(r"\p{M}")).select("_ch").distinct().withColumn("_class", rank("_ch"))
-    single = single.join(marked, "_ch", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
+    single = single.join(F.broadcast(marked), "_ch", "left").withColumn("_class", F.coalesce("_class", F.lit(0)))
     by = Window.partitionBy(*key).orderBy("_pos", "_sub")
     single = single.withColumn("_start", F.sum(F.when(F.col("_class") == 0, 1).otherwise(0)).over(by))
     built = single.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_start", "_class", "_pos", "_sub", "_ch"))), lambda x: x["_ch"]), "").alias("_built"))
     nothing = words.select(*key)
-    whole = nothing.join(built, key, "left").withColumn("_built", F.coalesce("_built", F.lit("")))
+    whole = nothing.join(large(built), key, "left").withColumn("_built", F.coalesce("_built", F.lit("")))
     return whole.withColumn("fixed", F.pandas_udf(_recompose, "string")("_built")).where("fixed != token").select(*key, "fixed")
 
 
@@ -149,5 +165,5 @@ def one_form(df: DataFrame, text_col: str, out: str = "normal_text") -> DataFram
     Japanese, fixed spaces before French marks, ordinary quotes, dashes and signs. Null stays null.
     """
     base = df.drop(*[c for c in (out, "out_of_form") if c != text_col])
-    done = rewrite(base, text_col, normal_tokens(base, text_col), out, WIDE_TOKEN, _context(F.col(text_col)), suspect_pattern())
+    done = rewrite(base, text_col, normal_tokens(base, text_col), out, WIDE_TOKEN, _context(F.col(text_col)), suspect)
     return done.withColumn("out_of_form", F.col(f"{out}_hits").isNotNull()).drop(f"{out}_hits")
