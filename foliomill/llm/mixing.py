@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from .common import cut
 from .tokens import FOLDER, token_count
 
-#: Parts into which each source is cut for running sums, and the strongest tilt.
-PARTS, TILT = 256, 0.5
+#: Records of a part into which sources are cut for running sums, on the average of all, and the strongest tilt.
+RECORDS, TILT = 100_000, 0.5
 
 
 def plan(totals: dict[str, int], targets: list[tuple[str, float, int]], tilt: float = TILT) -> dict[str, dict]:
@@ -63,13 +63,13 @@ def mixture(counts: DataFrame, planned_rows: dict[str, dict], id_col: str) -> Da
     side = F.broadcast(spark.createDataFrame(used, "_s string, _demand long, _there long, _tilt double, _most int"))
     rows = counts.where("_n > 0").join(side, counts["_source"] == F.col("_s")).drop("_s")
     order = F.xxhash64("_id", F.lit("order"))
-    part = F.pmod(F.shiftright(order, 40), F.lit(PARTS))
+    part = F.pmod(F.shiftright(order, 32), F.lit(max(16, rows.count() // RECORDS)))
     rows = rows.withColumns({"_order": order, "_part": part})
     # running sums in two steps: over the parts of a source, then within a part
     sums = rows.groupBy("_source", "_part").agg(F.sum("_n").alias("_sum"))
     before = sums.select("_source", "_part", (F.sum("_sum").over(Window.partitionBy("_source").orderBy("_part")) - F.col("_sum")).alias("_before"))
     within = F.sum("_n").over(Window.partitionBy("_source", "_part").orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    rows = rows.withColumn("_within", within).join(F.broadcast(before), ["_source", "_part"])
+    rows = rows.withColumn("_within", within).join(before, ["_source", "_part"])
     start = F.col("_before") + F.col("_within") - F.col("_n")
     times = F.floor((F.col("_demand") - 1) / F.col("_there"))
     rows = rows.withColumn("_start", start).withColumn("_r", F.explode(F.sequence(F.lit(0).cast("long"), F.least(times, F.col("_most") - 1))))
