@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, fresh, salted, spread, text_key
 from .forms import one_form
 
 #: Least score at which an entry is taken.
@@ -138,22 +138,22 @@ def _pairs(word: str) -> list[str]:
 def repaired(forms: DataFrame, words: list[str]) -> DataFrame:
     """(token, word, sim): every distinct token of the forms with the reference words it may stand for.
 
-    Words meet tokens by letter pairs. A word within the edit distances above, an abbreviation or a cut word shares its first letter's
-    pair or an inner pair with the token; two edits in a short word may leave one pair, so one is enough.
+    Words meet tokens by letter pairs, and are compared if they share as many as the edits that a word of that length may have can leave (an edit,
+    also of two letters exchanged, takes three pairs at most), or if they begin alike and the token is much shorter or cut off.
     """
     spark = forms.sparkSession
-    tokens = forms.select(F.explode(F.split("form", " ")).alias("token")).distinct()
+    tokens = spread(forms.select(F.explode(F.split("form", " ")).alias("token")).distinct())
     readings = F.pandas_udf(lambda s: s.map(lambda t: list(dict.fromkeys([p for r in _readings(plain(t)) for p in _pairs(r)] + ["^" + plain(t)[:1]]))), "array<string>")
     left = tokens.withColumn("pair", F.explode(readings("token")))
-    right = spark.createDataFrame([(w, p) for w in words for p in dict.fromkeys([*_pairs(w), "^" + w[:1]])], "word string, pair string")
-    # few bytes but much work a row: as many tasks as there are cores, whatever the size
-    met = left.join(right, "pair").select("token", "word").distinct().repartition(_tasks(forms))
+    right = spark.createDataFrame([(w, p) for w in words for p in dict.fromkeys(_pairs(w))], "word string, pair string")
+    bare = F.length(F.regexp_replace("token", r"[.~]+$", ""))
+    n = F.length("word")
+    most = F.when(n < 3, 0).when(n < 6, 1).when(n < 9, 2).otherwise(3)
+    met = left.join(right, "pair").groupBy("token", "word").agg(F.count("*").alias("_shared"), F.max(F.col("pair").startswith("^")).alias("_first"))
+    met = met.where((F.col("_shared") >= n + 1 - 3 * most) & (F.abs(bare - n) <= most + 2) | F.col("_first") & ((bare <= 0.75 * n) | F.col("token").rlike("[.~]$")))
     sim = F.pandas_udf(lambda t, w: pd.Series([similarity(a, b) for a, b in zip(t, w)], dtype="float64"), "double")
-    return met.withColumn("sim", sim("token", "word")).where("sim > 0")
-
-
-def _tasks(df: DataFrame) -> int:
-    return max(8, 2 * df.sparkSession.sparkContext.defaultParallelism)
+    # few bytes but much work a row
+    return spread(met.select("token", "word")).withColumn("sim", sim("token", "word")).where("sim > 0")
 
 
 class Entries:
@@ -223,7 +223,7 @@ def canonical(df: DataFrame, text_col: str, entries: list[tuple[str, str]], leas
     score the first wins.
     """
     base = df.drop(*[c for c in ("category_code", "match_score") if c != text_col])
-    formed = one_form(base.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, "_normal").repartition(_tasks(df)).select(F.col(text_col).alias("_text"), "_normal")
+    formed = spread(one_form(base.select(text_col).where(F.col(text_col).isNotNull()).distinct(), text_col, "_normal")).select(F.col(text_col).alias("_text"), "_normal")
     forms_of = F.pandas_udf(lambda s: s.map(variants), "array<string>")
     # read four times below, and no larger than the distinct texts
     by_text = cut(formed.withColumn("_forms", forms_of("_normal")))
@@ -231,7 +231,8 @@ def canonical(df: DataFrame, text_col: str, entries: list[tuple[str, str]], leas
     ranked = Entries(entries)
     words = sorted(ranked.weight)
     sims = repaired(forms, words).groupBy("token").agg(F.collect_list(F.struct("word", "sim")).alias("near"))
-    per_form = forms.withColumn("token", F.explode(F.array_distinct(F.split("form", " ")))).join(sims, "token").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near")).repartition(_tasks(df))
+    per_form = forms.withColumn("token", F.explode(F.array_distinct(F.split("form", " ")))).join(sims, "token").groupBy("form").agg(F.map_from_entries(F.collect_list(F.struct("token", "near"))).alias("near"))
+    per_form = spread(per_form)
 
     def rank(form: pd.Series, near: pd.Series) -> pd.DataFrame:
         rows = []
@@ -243,7 +244,10 @@ def canonical(df: DataFrame, text_col: str, entries: list[tuple[str, str]], leas
     whole = by_text.select("_text", F.posexplode("_forms").alias("_at", "form"), F.col("_forms")[0].alias("_whole")).join(scored, "form")
     # a part alone counts a little less than the whole
     best = whole.groupBy("_text").agg(F.max_by(F.struct("code", "score"), F.struct((F.col("score") - F.least("_at", F.lit(1)) * 0.02).alias("s"), (-F.col("_at")).alias("a"))).alias("b"))
-    best = best.select("_text", "b.*")
-    out = base.join(best, base[text_col] == best["_text"], "left").drop("_text")
-    good = F.coalesce(F.col("score") >= least, F.lit(False))
-    return out.withColumn("category_code", F.when(good, F.col("code")).otherwise("UNMATCHED")).withColumn("match_score", F.coalesce("score", F.lit(0.0))).drop("code", "score")
+    # headings meet their texts by hashes; one heading may be a third of all rows
+    a, b, code, score = (fresh(base, x) for x in ("k1", "k2", "code", "score"))
+    best = best.select(*[c.alias(k) for c, k in zip(text_key(F.col("_text")), (a, b))], F.col("b.code").alias(code), F.col("b.score").alias(score))
+    keyed = base.select("*", *[c.alias(k) for c, k in zip(text_key(F.col(text_col)), (a, b))])
+    out = salted(keyed, best, [a, b], F.monotonically_increasing_id(), "left").drop(a, b)
+    good = F.coalesce(F.col(score) >= least, F.lit(False))
+    return out.withColumn("category_code", F.when(good, F.col(code)).otherwise("UNMATCHED")).withColumn("match_score", F.coalesce(F.col(score), F.lit(0.0))).drop(code, score)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .boosting import Boosted
 from .checked import JUNK, PROSE
-from .common import codes
+from .common import codes, sample_texts
 
 #: Texts of the bounded sample on which the trees are fitted, and words taken as common (two lists, the second within the first).
 SAMPLE, COMMON, VERY_COMMON = 8000, 400, 60
@@ -180,19 +180,26 @@ def common_words(df: DataFrame, text_col: str, n: int = COMMON) -> list[str]:
     return [r["w"] for r in counts.orderBy(F.desc("count"), "w").limit(n).collect()]
 
 
+#: Hand-checked texts: every second one is always learned from, so that the model is defined on any table; the others are held out,
+#: never learned from, and calibrate the probabilities.
+SEED = ((*PROSE[::2],), (*JUNK[::2],))
+HELD = ((*PROSE[1::2],), (*JUNK[1::2],))
+
+
+def _truth(kinds: tuple) -> np.ndarray:
+    return np.array([1.0] * len(kinds[0]) + [0.0] * len(kinds[1]))
+
+
 def fit(df: DataFrame, text_col: str, common: list[str], sample: int = SAMPLE) -> Boosted:
-    """Trees fitted on `sample` distinct texts, those with the lowest hash, as far as they have a weak label."""
-    texts = df.where(F.length(text_col) > 0).select(F.col(text_col).alias("_t")).distinct().orderBy(F.xxhash64("_t"), "_t").limit(sample)
-    rows = [r["_t"] for r in texts.collect()]
+    """Trees fitted on the seed and on `sample` distinct texts, those with the lowest hash, as far as they have a weak label and aren't held out."""
+    held_out = {*HELD[0], *HELD[1]}
+    rows = [t for t in sample_texts(df, text_col, sample) if t not in held_out]
     few, very = frozenset(common), frozenset(common[:VERY_COMMON])
-    held = statistics([*PROSE, *JUNK], few, very)
-    truth = np.array([1.0] * len(PROSE) + [0.0] * len(JUNK))
+    seed, held = (statistics([*k[0], *k[1]], few, very) for k in (SEED, HELD))
     s = statistics(rows, few, very) if rows else np.zeros((0, len(NAMES)))
     y = weak_label(s)
-    x, y = s[y >= 0], y[y >= 0].astype(float)
-    if len(y) < 50 or y.min() == y.max():
-        x, y = np.concatenate([x, held]), np.concatenate([y, truth])
-    return Boosted().fit(x, y).calibrate(held, truth)
+    x, y = np.concatenate([s[y >= 0], seed]), np.concatenate([y[y >= 0].astype(float), _truth(SEED)])
+    return Boosted().fit(x, y).calibrate(held, _truth(HELD))
 
 
 def text_quality(df: DataFrame, text_col: str, model: Boosted | None = None, common: list[str] | None = None) -> DataFrame:

@@ -18,6 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import sample_texts
+
 #: Hash buckets of word counts, which bound what is sent to the workers, and texts of the sample the model is fitted on.
 BUCKETS, SAMPLE = 1 << 18, 6000
 #: A word expected this often at a sure place and never seen there isn't a boundary (e^-4.6 is one in a hundred).
@@ -35,6 +37,9 @@ _BULLET = re.compile(r"^\s*(?:[•▪●◦‣·*–—-]|\(?\d{1,3}[.)]|\(?[a-z
 _OPEN = "\"“„‘«‹([「『（【¿¡"
 
 
+_RUN = re.compile(r"\s*(\S+)")
+
+
 def _eastern(ch: str) -> bool:
     return "⺀" <= ch <= "鿿" or "＀" <= ch <= "￯" or "가" <= ch <= "힣"
 
@@ -44,8 +49,15 @@ def _thai(ch: str) -> bool:
 
 
 def before(text: str, end: int) -> str:
-    """The word that ends at `end`, folded; in scripts without spaces its last letters."""
-    tail = text[max(0, end - 48) : end].rstrip()
+    """The word that ends at `end`, whole and folded; in scripts without spaces its last letters."""
+    size = 48
+    while True:
+        tail = text[max(0, end - size) : end].rstrip()
+        pieces = re.split(r"\s", tail)
+        # as far back as the word goes
+        if size >= end or tail and len(pieces) > 1:
+            break
+        size *= 4
     if not tail:
         return ""
     core = tail.rstrip("。！？।॥؟｡.!?…;" + "\"”’»)]」』】）›“")
@@ -53,22 +65,22 @@ def before(text: str, end: int) -> str:
         return "e" + tail[max(0, len(core) - 2) :]
     if core and _thai(core[-1]):
         return "t" + tail[-6:]
-    word = re.split(r"\s", tail)[-1].lstrip(_OPEN)
+    word = pieces[-1].lstrip(_OPEN)
     return re.sub(r"\d+(?:[.,]\d+)*", "0", word).lower()
 
 
 def after(text: str, start: int) -> str:
-    """The word that starts at or after `start`, folded; in scripts without spaces its first letters."""
-    head = text[start : start + 48].lstrip()
-    if not head:
+    """The word that starts at or after `start`, whole and folded; in scripts without spaces its first letters."""
+    found = _RUN.match(text, start)
+    if not found:
         return ""
+    head = found.group(1)
     core = head.lstrip(_OPEN) or head
     if _eastern(core[0]):
         return "e" + core[:2]
     if _thai(core[0]):
         return "t" + core[:5]
-    word = re.split(r"\s", core)[0]
-    word = re.sub(r"\d+", "0", word.rstrip(",;:.!?\"”’»)"))
+    word = re.sub(r"\d+", "0", core.rstrip(",;:.!?\"”’»)"))
     quoted = "“" if head[0] in "\"“„«" else ""
     return quoted + (word[:1] + word[1:].lower())
 
@@ -242,8 +254,7 @@ def fit(df: DataFrame, text_col: str, sample: int = SAMPLE, like: DataFrame | No
     tables = np.zeros((4, BUCKETS), np.int64)
     got = counted.toPandas()  # at most four counts a bucket
     tables[got["kind"], got["bucket"]] = got["n"]
-    shown = texts if like is None else like.where(F.length(F.trim(text_col)) > 0).select(F.col(text_col).alias("t"))
-    few = [r["t"] for r in shown.distinct().orderBy(F.xxhash64("t"), "t").limit(sample).collect()]
+    few = sample_texts(df if like is None else like, text_col, sample)
     return Boundaries(*tables).fit(few)
 
 
