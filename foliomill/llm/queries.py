@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import ship
 from . import canonical, encoding, forms, mixing, packing, quality, repeated_lines, repetition, scans, sentences
-from .common import table
+from .common import cut, large, table
 
 
 def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +25,22 @@ def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair_encoding(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text", "quality_decision"), "paragraph_text")
 
 
+def _structure(units: DataFrame, all_units: DataFrame) -> DataFrame:
+    """(paragraph_id): those of the units that are no prose, by a model fitted on all units."""
+    common = quality.common_words(all_units, "paragraph_text")
+    model = quality.fit(all_units, "paragraph_text", common)
+    judged = quality.text_quality(units.select("paragraph_id", "unit_type", "paragraph_text"), "paragraph_text", model, common)
+    return judged.where("text_kind = 'STRUCTURE' and unit_type = 'PARAGRAPH'").select("paragraph_id").distinct()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paragraphs(spark, sf_dir).where("unit_type <> 'SECTION_HEADING' and text_source = 'native' and not contains(paragraph_text, '\n')")
+    every = _paragraphs(spark, sf_dir)
+    p = every.where("unit_type <> 'SECTION_HEADING' and text_source = 'native' and not contains(paragraph_text, '\n')")
     # counts come from all units, those of many lines too, weights from units like those that are split
-    model = sentences.fit(_paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text").distinct(), "paragraph_text", like=p)
+    model = sentences.fit(every.select("paragraph_id", "paragraph_text").distinct(), "paragraph_text", like=p)
     ends = sentences.sentence_ends(p.select("paragraph_id", "paragraph_text"), "paragraph_text", model)
     rows = ends.select("paragraph_id", F.explode(F.slice("sentence_ends", 1, F.greatest(F.size("sentence_ends") - 1, F.lit(0)))).alias("end_char"))
-    return rows.join(p3_found(spark, sf_dir), "paragraph_id", "left_anti").distinct()
+    return rows.join(large(_structure(p, every)), "paragraph_id", "left_anti").distinct()
 
 
 def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +49,8 @@ def p2_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paragraphs(spark, sf_dir).select("paragraph_id", "unit_type", "paragraph_text")
-    return quality.text_quality(p, "paragraph_text").where("text_kind = 'STRUCTURE' and unit_type = 'PARAGRAPH'").select("paragraph_id").distinct()
+    p = _paragraphs(spark, sf_dir)
+    return _structure(p, p)
 
 
 def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,11 +59,13 @@ def p3_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text")
-    damaged = scans.repair_scans(p, "paragraph_text").where("size(scan_damage) > 0").select("paragraph_id").distinct()
-    odd = forms.one_form(p, "paragraph_text").where("out_of_form").select("paragraph_id")
-    other = p1_found(spark, sf_dir).unionByName(p3_found(spark, sf_dir)).unionByName(odd).distinct()
-    return damaged.join(other, "paragraph_id", "left_anti")
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "unit_type", "paragraph_text")
+    damaged = cut(scans.repair_scans(p, "paragraph_text").where("size(scan_damage) > 0").select("paragraph_id", "unit_type", "paragraph_text"))
+    # cases of other problems are looked for among the damaged units only, with words, counts and models of all units
+    garbled = encoding.repair_encoding(damaged, "paragraph_text", corpus=p).where("garbled").select("paragraph_id")
+    odd = forms.one_form(damaged, "paragraph_text").where("out_of_form").select("paragraph_id")
+    other = garbled.unionByName(odd).unionByName(_structure(damaged, p)).distinct()
+    return damaged.select("paragraph_id").distinct().join(large(other), "paragraph_id", "left_anti")
 
 
 def p4_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,10 +84,18 @@ def p5_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines.without_repeated_lines(p, "paragraph_id", "report_id", "paragraph_text")
 
 
+def p5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _paragraphs(spark, sf_dir).select("paragraph_id", "report_id", "paragraph_text")
+    return repeated_lines.without_repeated_chunks(p, "paragraph_id", "report_id", "paragraph_text")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _paragraphs(spark, sf_dir).select("paragraph_id", "paragraph_text")
     h = table(spark, sf_dir, "semantic_heading_manifest")
-    found = forms.one_form(p, "paragraph_text").where("out_of_form").join(p1_found(spark, sf_dir), "paragraph_id", "left_anti")
+    odd = cut(forms.one_form(p, "paragraph_text").where("out_of_form").select("paragraph_id", "paragraph_text"))
+    # garbled text is looked for among the units out of form only, by the words of all units
+    garbled = encoding.repair_encoding(odd, "paragraph_text", corpus=p).where("garbled").select("paragraph_id").distinct()
+    found = odd.select("paragraph_id").distinct().join(large(garbled), "paragraph_id", "left_anti")
     heads = forms.one_form(h.select("heading_id", "original_heading"), "original_heading").where("out_of_form")
     return (
         found.select(F.lit("mda_paragraph_level").alias("table_name"), F.col("paragraph_id").alias("record_key"))
@@ -132,17 +151,31 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(ship(spark), sf_dir, "documents")
-    return repetition.repetition(d, "doc_id", "text").where("repeated_units * 10 >= units * 3 and units > 0").select("doc_id").distinct()
+    return repetition.repetition(d, "doc_id", "text", every=False).where("band = 'REPETITIVE' and repeated_units * 10 >= units * 3").select("doc_id").distinct()
 
 
 def p10_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repetition.repetition(table(ship(spark), sf_dir, "documents"), "doc_id", "text")
+    return repetition.repetition(table(ship(spark), sf_dir, "documents"), "doc_id", "text").select("doc_id", "units", "repeated_units", "repeated_share")
+
+
+def p10_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repetition.repetition(table(ship(spark), sf_dir, "documents"), "doc_id", "text", every=False).select("doc_id", "units", "zstd_ratio", "zstd_worst_chunk", "zstd_text", "band")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_sentences, p3_found, p3_statistics, p4_found, p4_readable, p5_found, p5_clean, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares)
+    f.__name__: f for f in (p1_found, p1_repaired, p2_found, p2_sentences, p3_found, p3_statistics, p4_found, p4_readable, p5_found, p5_clean, p5_chunks, p6_found, p6_paragraphs, p6_headings, p7_found, p7_scores, p8_pack, p9_mixture, p9_shares, p10_found, p10_shares, p10_bands)
 }
 
+#: Per document its units and those in passages that occurred before.
+_PASSAGES = r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+s AS (SELECT doc_id, t, len(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) * 2 <= length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS spaced FROM d),
+u AS (SELECT doc_id, CASE WHEN spaced THEN regexp_extract_all(t, '[\p{L}\p{M}]+') ELSE regexp_extract_all(t, '\p{L}') END AS w, CASE WHEN spaced THEN 8 ELSE 16 END AS k FROM s),
+g AS (SELECT doc_id, k, len(w) AS n, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS grams FROM u WHERE len(w) >= k),
+e AS (SELECT doc_id, k, n, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS nth FROM e),
+c AS (SELECT doc_id, any_value(n) AS n, count(DISTINCT i + o) AS covered FROM r, (SELECT unnest(range(0, 16)) AS o) WHERE nth > 1 AND o < k GROUP BY doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "p5_found": r"""
 WITH u AS (SELECT DISTINCT paragraph_id, report_id, unit_type, paragraph_text FROM mda_paragraph_level),
@@ -153,13 +186,7 @@ c AS (SELECT report_id, letters, count(DISTINCT paragraph_id) AS n FROM k WHERE
 t AS (SELECT report_id, count(DISTINCT paragraph_id) AS total FROM u GROUP BY ALL)
 SELECT DISTINCT paragraph_id, CAST(line_no AS INTEGER) AS line_no FROM k JOIN c USING (report_id, letters) JOIN t USING (report_id)
 WHERE unit_type <> 'SECTION_HEADING' AND n >= 5 AND n >= 0.015 * total""",
-    "p10_found": r"""
-WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
-s AS (SELECT doc_id, t, len(regexp_extract_all(t, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) * 2 <= length(regexp_replace(t, '[^\p{L}]+', '', 'g')) AS spaced FROM d),
-u AS (SELECT doc_id, CASE WHEN spaced THEN regexp_extract_all(t, '[\p{L}\p{M}]+') ELSE regexp_extract_all(t, '\p{L}') END AS w, CASE WHEN spaced THEN 8 ELSE 16 END AS k FROM s),
-g AS (SELECT doc_id, k, len(w) AS n, list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' ')) AS grams FROM u WHERE len(w) >= k),
-e AS (SELECT doc_id, k, n, unnest(grams) AS gram, unnest(range(1, len(grams) + 1)) AS i FROM g),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, gram ORDER BY i) AS nth FROM e),
-c AS (SELECT doc_id, any_value(n) AS n, count(DISTINCT i + o) AS covered FROM r, (SELECT unnest(range(0, 16)) AS o) WHERE nth > 1 AND o < k GROUP BY doc_id)
-SELECT doc_id FROM c WHERE covered * 10 >= n * 3""",
+    "p10_found": _PASSAGES + "SELECT doc_id FROM c WHERE covered * 10 >= n * 3",
+    "p10_shares": _PASSAGES + """SELECT u.doc_id, CAST(len(w) AS BIGINT) AS units, CAST(coalesce(covered, 0) AS BIGINT) AS repeated_units,
+CASE WHEN len(w) > 0 THEN coalesce(covered, 0) / len(w) ELSE 0.0 END AS repeated_share FROM u LEFT JOIN c USING (doc_id)""",
 }

@@ -1,5 +1,6 @@
 """What each operator finds, against brute force, round trips and held-out accuracy."""
 
+import os
 import random
 import re
 from collections import defaultdict
@@ -12,6 +13,7 @@ from hypothesis import strategies as st
 from foliomill.llm import canonical, encoding, forms, mixing, packing, quality, queries, repeated_lines, repetition, scans, sentences
 from foliomill.llm.checked import JUNK, PROSE
 
+DIR = "/root/testdata/sf0.01"
 WORDS = "the plant tested a pump near river while margins held steady and lenders took note of every report from our mill".split()
 
 
@@ -66,7 +68,38 @@ def test_forms_of_plain_letters_are_looked_up(spark):
     assert same[100] == got[100][1] and same[0] == good[0][1]
 
 
+def test_the_table_finds_without_the_check(spark, monkeypatch):
+    words = ["société", "für", "Vorräte", "комитета", "εργοστάσιο", "計画"]
+    chains = [("utf-8", "cp1252"), ("utf-8", "latin-1"), ("utf-8", "mac_roman"), ("utf-8", "cp437"), ("utf-8", "cp1251")]
+    good = [(i, "La société für Vorräte, комитета и εργοστάσιο 計画.") for i in range(20)]
+    bad = [(100 + k, encoding.read_as(w.encode(r), c)) for k, (w, (r, c)) in enumerate((w, c) for w in words for c in chains)]
+    df = spark.createDataFrame(good + bad, "i int, t string")
+    found = {r["token"]: (r["fixed"], r["way"]) for r in encoding.garbled_tokens(df, "t").collect()}
+    for k, (w, _) in enumerate((w, c) for w in words for c in chains):
+        assert found[bad[k][1]] == (w, "TABLE")
+
+
+def test_passages_longer_than_a_word_are_looked_up_by_letters(spark):
+    long = "今年的需求会回升吗我们批准了信用管理规则并完成了污水处理项目" * 4
+    garbled = encoding.read_as(long[::-1].encode(), "cp1252")
+    df = spark.createDataFrame([(1, long), (2, garbled), (3, "plain")], "i int, t string")
+    got = {r["token"]: (r["fixed"], r["way"]) for r in encoding.garbled_tokens(df, "t").collect()}
+    assert len(long) > encoding.LONG and got == {garbled: (long[::-1], "TABLE")}
+
+
+def test_words_of_a_corpus_repair_some_rows(spark):
+    corpus = spark.createDataFrame([(i, "La société est là.") for i in range(9)] + [(50, "Une soci� ici")], "i int, t string")
+    rows = corpus.where("i = 50")
+    assert encoding.repair_encoding(rows, "t", corpus=corpus).collect()[0]["garbled"]
+
+
 # --- 2
+def test_words_beside_a_boundary_are_whole():
+    word = "x" * 100
+    assert sentences.before(word + ". Next", 101) == word + "." and sentences.after("a. " + word, 2) == word
+    assert sentences.after("a." + " " * 60 + "Hello, x", 2) == "Hello" and sentences.before("a b" + " " * 70, 73) == "b"
+
+
 def test_sentence_model_on_held_out_text(spark):
     r = random.Random(1)
     names = ["Mr. Smith", "Dr. Jones", "Prof. Lee"]
@@ -105,19 +138,95 @@ def test_sentence_counts_come_from_all_units(spark, tmp_path, monkeypatch):
 
 # --- 3
 def test_statistics_and_kinds(spark):
-    rows = [(i, t) for i, t in enumerate([*PROSE, *JUNK] * 8)]
-    df = spark.createDataFrame(rows, "i int, t string")
-    got = {r["i"]: r for r in quality.text_quality(df, "t").collect()}
-    kinds = [got[i]["text_kind"] for i in range(len(PROSE) + len(JUNK))]
-    right = sum(k == "PROSE" for k in kinds[: len(PROSE)]) + sum(k == "STRUCTURE" for k in kinds[len(PROSE) :])
-    assert right >= 0.95 * len(kinds)
+    # texts that are held out decide: with a table of real size, and with the seed alone
+    held, n = [*quality.HELD[0], *quality.HELD[1]], len(quality.HELD[0])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(held)], "i int, t string")
+    units = f"{DIR}/mda_paragraph_level.parquet"
+    for train, least in ((df.limit(0), 0.8), (spark.read.parquet(units).withColumnRenamed("paragraph_text", "t") if os.path.exists(units) else None, 0.95)):
+        if train is None:
+            continue
+        common = quality.common_words(train, "t")
+        got = {r["i"]: r["text_kind"] for r in quality.text_quality(df, "t", quality.fit(train, "t", common), common).collect()}
+        right = sum(got[i] == ("PROSE" if i < n else "STRUCTURE") for i in got)
+        assert right >= least * len(held), (right, len(held))
     s = quality.statistics(["One two. Three!\nlist item", ""], frozenset(), frozenset())
     v = dict(zip(quality.NAMES, s[0]))
     assert (v["n_words"], v["n_lines"], v["sentence_ends"], v["lines_ended_share"]) == (5, 2, 2, 0.5)
     assert not s[1].any()
 
 
+def test_held_out_texts_are_never_learned_from(spark, monkeypatch):
+    seen = []
+    real = quality.statistics
+    monkeypatch.setattr(quality, "statistics", lambda texts, *a: seen.append(list(texts)) or real(texts, *a))
+    held = [*quality.HELD[0], *quality.HELD[1]]
+    quality.fit(spark.createDataFrame([(t,) for t in [*held, "Another text stands here."]], "t string"), "t", ["the"])
+    assert seen == [[*quality.SEED[0], *quality.SEED[1]], held, ["Another text stands here."]]
+
+
 # --- 4
+def test_line_model_labels_more_than_a_pattern():
+    def wrapped(seed, n=60, width=52):
+        lines, line = [], ""
+        for w in (text(seed, n).capitalize() + ".").split():
+            if len(line) + 1 + len(w) > width:
+                lines.append(line)
+                line = w
+            else:
+                line = f"{line} {w}".strip()
+        return [*lines, line]
+
+    titles = ["Acme Mills Limited Annual Report 2019-20", "Acme Mills Limited", "Sustainability Review", "34", "Page 12 of 90", "ACME MILLS LIMITED | 77"]
+    r, texts, truth = random.Random(4), [], []
+    for i in range(600):
+        lines, at = wrapped(i), None
+        if i % 3 == 0:
+            at = r.randrange(1, len(lines) - 1)
+            lines.insert(at, r.choice(titles))
+        elif i % 3 == 1:
+            lines += ["1998"]  # looks like the number of a page, and ends a table
+        texts.append("\n".join(lines))
+        truth.append(at)
+    model = scans.Lines().fit(texts[:400])
+    score = {"model": [0, 0, 0], "pattern": [0, 0, 0]}
+    for t, at in zip(texts[400:], truth[400:]):
+        f = scans.line_features(t.split("\n"))
+        for name, found in (("model", set(np.flatnonzero(model.label(f) == scans.HEADER).tolist())), ("pattern", set(np.flatnonzero(f[:, scans.KIND] > 0).tolist()))):
+            want = set() if at is None else {at}
+            score[name] = [a + b for a, b in zip(score[name], (len(found & want), len(found - want), len(want - found)))]
+    f1 = {k: 2 * a / (2 * a + b + c) for k, (a, b, c) in score.items()}
+    assert f1["model"] > 0.97 > 0.8 > f1["pattern"]
+
+
+def test_breaks_end_paragraphs(spark):
+    one = ["The plant tested the pump near the river while the", "margins held steady and the lenders took note. It", "was good.", "Every report from our mill said that the plant held", "the pump steady near the river."]
+    rows = [(i, "\n".join(one)) for i in range(40)]
+    got = scans.repair_scans(spark.createDataFrame(rows, "i int, t string"), "t").first()["readable_text"]
+    assert got == " ".join(one[:3]) + "\n" + " ".join(one[3:])
+
+
+def test_long_words_meet_known_ones(spark):
+    word = "donaudampfschifffahrtselektrizitaetenhauptbetriebswerkbau"
+    seen = word.replace("m", "rn", 1).replace("w", "vv", 1)
+    rows = [(i, f"Die {word} stand.") for i in range(60)] + [(100, f"Die {seen} stand."), (101, f"Die {word}die stand."), (102, "Die " + "ab" * 4000 + " stand.")]
+    got = {r["i"]: (r["scan_damage"], r["readable_text"]) for r in scans.repair_scans(spark.createDataFrame(rows, "i int, t string"), "t").where("i >= 100").collect()}
+    assert len(word) > scans.SHORT and got[100] == (["misread"], f"Die {word} stand.") and got[102][0] == []
+    assert scans.reaches(seen, word) and not scans.reaches(seen, word, 1) and not scans.reaches("abc", "abd")
+    assert scans.cuts("x" * 200, frozenset()) == [] and scans.cuts("x" * 200, frozenset({190})) == [10, 190]
+
+
+@given(st.lists(st.sampled_from("abcdefgh"), min_size=41, max_size=60), st.integers(0, 40), st.integers(0, 40), st.sampled_from(scans.MISREAD), st.sampled_from(scans.MISREAD))
+@settings(max_examples=80, deadline=None)
+def test_words_of_two_misread_places_share_a_segment(letters, i, j, a, b):
+    original = "".join(letters)
+    i, j = sorted((i, j))
+    word = original[:i] + a[1] + original[i:j] + b[1] + original[j:]
+    seen = original[:i] + a[0] + original[i:j] + b[0] + original[j:]
+    known = set(scans._segments(word, len(word), range(1)))
+    assert known & set(scans._segments(seen, len(word), range(-2, 3)))
+
+
+# --- 4, repairs
 def test_scan_damage(spark):
     base = [(i, f"The supply contract for the mill was tested by the plant number {i}.\nThe report says that the low-cost supply was steady.") for i in range(60)]
     bad = [
@@ -177,10 +286,21 @@ def test_repeated_lines_against_brute_force(spark):
 def test_chunks_depend_on_the_line_alone():
     line = "subscribetomemberalertsfromacmeindustriestoday"
     alone = repeated_lines.chunks([line])[2]
-    of, _, among = repeated_lines.chunks(["other words here", line, "more"])
+    of, _, among, _ = repeated_lines.chunks(["other words here", line, "more"])
     assert (among[of == 1] == alone).all() and len(alone) > 1
 
 
+def test_chunks_of_unbroken_text_are_cut(spark):
+    notice = "Please subscribe to the alerts of Acme Industries and read the caution on the last page of the report"
+    rows = [(f"p{i}", "s", text(i, 12) + " " + notice + " " + text(i + 999, 12)) for i in range(12)] + [(f"q{i}", "s", text(5000 + i, 20)) for i in range(200)] + [(None, "s", notice), ("n", "s", None), ("o", None, notice)]
+    got = {r["id"]: r for r in repeated_lines.without_repeated_chunks(spark.createDataFrame(rows, "id string, source string, text string"), "id", "source", "text").collect()}
+    for i in range(12):
+        r = got[f"p{i}"]
+        assert r["chunks_cut"] > 0 and "caution" not in r["clean_text"] and len(r["text"]) - len(r["clean_text"]) > 0.4 * len(notice)
+        assert r["clean_text"].startswith(text(i, 12)[:30]) and r["clean_text"].endswith(text(i + 999, 12)[-30:])
+    assert got["n"]["clean_text"] is None and got["o"]["clean_text"] == notice and got[None]["clean_text"] == notice and got["o"]["chunks_cut"] == 0
+
+
 # --- 6
 @pytest.mark.parametrize(
     ("seen", "plain"),
@@ -254,6 +374,16 @@ def test_packing_is_whole_and_tight(spark):
     assert n.nunique() == 1
 
 
+def test_large_items_do_not_gather_in_one_task(spark):
+    sizes = [(51 + i % 48, []) for i in range(5000)]
+    done, left = packing.residual([(t, []) for t, _ in sizes] + [(20, [])], 100, 0.995, 64)
+    assert len(left) == 65 and len(done) + len(left) == 5001 and max(t for t, _ in left) <= min(t for t, _ in done)
+    df = spark.createDataFrame([(i, text(i, 40 + i % 20)) for i in range(3000)] + [(i, "one") for i in (7001, 7001, 7002)], "i int, t string")
+    out = packing.pack(df, "i", "t", [("k", 64)], items=100, carry=4).toPandas()
+    fill = out.groupby("container_id").tokens.sum()
+    assert fill.max() <= 64 and len(out) == 3003 and (out.groupby("i").size().loc[[7001, 7002]] == [2, 1]).all()
+
+
 # --- 9
 def test_mixture_meets_shares(spark):
     rows = [(i, s, text(i, 20 + i % 30)) for i, s in enumerate(["big"] * 3000 + ["mid"] * 300 + ["low"] * 120 + ["none"] * 50)]
@@ -299,10 +429,29 @@ def test_repetition_against_brute_force(spark):
         else:
             w, size = re.findall(r"[^\W\d_]+", t.lower()), 8
         want = brute(w, size)
-        assert got[i]["units"] == len(w)
-        # texts that the compression rejects can't be over the limit
-        assert got[i]["repeated_units"] == want or got[i]["repeated_units"] == 0 and want < 0.3 * len(w)
+        assert got[i]["units"] == len(w) and got[i]["repeated_units"] == want
+        assert got[i]["band"] == "REPETITIVE" or want < 0.3 * len(w)
     assert got[501]["repeated_share"] == 0.5
+    some = {r["i"]: r for r in repetition.repetition(df, "i", "t", every=False).collect()}
+    assert all(some[i]["repeated_units"] == (got[i]["repeated_units"] if got[i]["band"] == "REPETITIVE" else 0) for i, _ in rows)
+
+
+def test_bands_hold_every_text_of_three_tenths_and_few_others():
+    r = np.random.default_rng(0)
+    small = repetition._compressor(0)
+    for k in range(400):
+        n, w = int(r.choice([16, 26, 40, 80, 160, 400, 3000])), int(r.choice([8, 16]))
+        fresh = r.integers(0, 1 << 24, max(w, n)).tolist()
+        units = list(fresh)
+        while len(units) * 0.3 > len(units) - len(fresh):
+            at = int(r.integers(0, len(fresh) - w + 1))
+            units += fresh[at : at + w]
+        pack = lambda u: np.array(u, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        assert repetition.band(pack(units), b"x" * 100, small)[3] == "REPETITIVE"
+        assert repetition.band(pack(fresh), b"x" * 100, small)[3] != "REPETITIVE"
+    noise = r.integers(0, 256, 5000).astype(np.uint8).tobytes()
+    assert repetition.band(b"", noise, small)[3] == "INCOMPRESSIBLE"
+    assert repetition.band(b"", text(1, 900).encode(), small)[3] == "PLAIN"
 
 
 def test_windows_of_many_lists_at_once():
