@@ -36,35 +36,45 @@ def nearest(left: DataFrame, right: DataFrame, key: str, a: str, b: str, most: i
     return near.groupBy(*left.columns).agg(F.min(F.struct(F.abs(F.col(a) - F.col("_b")).alias("gap"), F.col("_b").alias("v"))).alias("m")).select(*left.columns, F.col("m.v").alias(f"nearest_{b}"), F.col("m.gap").alias("gap"))
 
 
-#: Reports on responsibility of which the foremost is kept, topics that sections hold, and sections that hold them.
-PRIORITY = {"Business Responsibility & Sustainability Report": 4, "Business Responsibility & Sustainability Report (BRSR)": 4, "Business Responsibility Report": 3, "Business Responsibility Report (BRR)": 3, "ESG Report": 2, "Sustainability Report": 1}
+#: Reports on responsibility of which the foremost is kept, topics that sections hold, sections that hold them, and marks of a risk card.
+PRIORITY = {"Business Responsibility & Sustainability Report (BRSR)": 4, "Business Responsibility Report (BRR)": 3, "ESG Report": 2, "Sustainability Report": 1}
 TOPICS = ("Risk Management", "Human Resources & Talent", "Cybersecurity & IT Governance")
 PARENTS = ("Board's Report", "Directors' Report", "Management Discussion & Analysis")
+RISK_CARD = ("risk description", "impact on value", "mitigating measure", "capital at risk", "risk rating")
 
 
-def packaging_guard(ranges: DataFrame, report: str = "report_id", label: str = "canonical_category", start: str = "start_page", end: str = "end_page", manual: Column | None = None) -> DataFrame:
-    """Every range with `action` (KEEP or DROP) and `reason`.
+def valid_range(start: str = "start_page", end: str = "end_page") -> Column:
+    return F.coalesce((F.col(start) > 0) & (F.col(end) >= F.col(start)), F.lit(False))
 
-    Dropped are responsibility reports with the very range of a foremost one, topics inside a section that holds them, and
-    responsibility reports inside a board or directors' report that ends with them. Containment is closed and uses all ranges; manual ones stay.
+
+def packaging_guard(ranges: DataFrame, report: str = "report_id", label: str = "canonical_category", start: str = "start_page", end: str = "end_page", manual: Column | None = None, text: Column | None = None) -> DataFrame:
+    """Every range with `action` (KEEP or SUPPRESSED_STANDALONE) and `reason`.
+
+    Suppressed are responsibility reports with the very range of a foremost one, topics inside a section that holds them (of several the first by
+    start, then by label), a one-page cybersecurity section whose text is a card of a risk register, and responsibility reports inside a board or directors'
+    report that ends with them. Containment is closed and uses all ranges; manual ones stay, and so do ranges without valid pages.
     """
     manual = F.lit(False) if manual is None else F.coalesce(manual, F.lit(False))
     prior = F.create_map(*[F.lit(x) for p in PRIORITY.items() for x in p])[F.col(label)]
     same = Window.partitionBy(report, start, end)
-    valid = F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) >= F.col(start))
-    rows = ranges.withColumns({"_m": manual, "_prio": prior, "_v": valid}).withColumn("_top", F.max(F.when(F.col("_v") & ~F.col("_m"), F.col("_prio"))).over(same))
+    rows = ranges.withColumns({"_m": manual, "_prio": prior, "_v": valid_range(start, end)})
+    winner = F.max(F.when(F.col("_v") & ~F.col("_m") & F.col("_prio").isNotNull(), F.struct(F.col("_prio").alias("p"), F.col(label).alias("l")))).over(same)
     # the sections that may hold others, one row a report: at most three labels, with as many ranges as the report gives them
-    holders = rows.where(F.col("_v") & F.col(label).isin(*PARENTS)).groupBy(report).agg(F.collect_set(F.struct(F.col(label).alias("l"), F.col(start).alias("s"), F.col(end).alias("e"))).alias("_h"))
-    rows = rows.join(holders, report, "left")
-    inside = F.exists("_h", lambda h: (h["s"] <= F.col(start)) & (F.col(end) <= h["e"]) & (h["l"] != F.col(label)))
-    closing = F.exists("_h", lambda h: h["l"].isin("Board's Report", "Directors' Report") & (h["s"] <= F.col(start)) & (F.col(end) == h["e"]))
+    holders = rows.where(F.col("_v") & F.col(label).isin(*PARENTS)).groupBy(report).agg(F.array_sort(F.collect_set(F.struct(F.col(start).alias("s"), F.col(label).alias("l"), F.col(end).alias("e")))).alias("_h"))
+    rows = rows.withColumn("_top", winner).join(holders, report, "left")
+    within = lambda h: (h["s"] <= F.col(start)) & (F.col(end) <= h["e"])
+    inside = F.get(F.filter("_h", lambda h: within(h) & (h["l"] != F.col(label))), F.lit(0))["l"]
+    closing = F.array_min(F.transform(F.filter("_h", lambda h: h["l"].isin("Board's Report", "Directors' Report") & within(h) & (F.col(end) == h["e"])), lambda h: h["l"]))
+    low = F.lower(T.text(text)) if text is not None else F.lit("")
+    card = sum((F.when(F.contains(low, F.lit(m)), 1).otherwise(0) for m in RISK_CARD), F.lit(0)) >= 3
     reason = (
         F.when(F.col("_m") | ~F.col("_v"), F.lit(None).cast("string"))
-        .when(F.col("_prio") < F.col("_top"), "DUPLICATE_RESPONSIBILITY_RANGE")
-        .when(F.col(label).isin(*TOPICS) & F.coalesce(inside, F.lit(False)), "NESTED_INTERNAL_TOPIC")
-        .when(F.col("_prio").isNotNull() & F.coalesce(closing, F.lit(False)), "NESTED_RESPONSIBILITY_REPORT")
+        .when(F.col("_prio") < F.col("_top.p"), F.concat(F.lit("DUPLICATE_RANGE_OF_"), F.col("_top.l")))
+        .when(F.col(label).isin(*TOPICS) & inside.isNotNull(), F.concat(F.lit("NESTED_SUBSECTION_OF_"), inside))
+        .when((F.col(label) == "Cybersecurity & IT Governance") & (F.col(start) == F.col(end)) & card, "RISK_REGISTER_CARD_NOT_PEER_REPORT")
+        .when(F.col("_prio").isNotNull() & closing.isNotNull(), F.concat(F.lit("REFERENCE_OR_SUBHEADING_INSIDE_"), closing))
     )
-    return rows.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isNull(), "KEEP").otherwise("DROP")).drop("_m", "_prio", "_v", "_top", "_h")
+    return rows.withColumn("reason", reason).withColumn("action", F.when(F.col("reason").isNull(), "KEEP").otherwise("SUPPRESSED_STANDALONE")).drop("_m", "_prio", "_v", "_top", "_h")
 
 
 def payloads(sections: DataFrame, units: DataFrame, report: str, page: str, order: str, text_col: str) -> DataFrame:

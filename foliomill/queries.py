@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import semantic
 from .functions import text as T
-from .operators import lines, metadata, quality, search, sections, units
+from .operators import anchors, lines, metadata, quality, repair, search, sections, units
 from .session import ship
 from .sources import sinks
 
@@ -107,9 +107,76 @@ def multiset_minus(spark, sf_dir):
     return lines.multiset_minus(l, heads, ["report_id"]).select("report_id", "paragraph_id", "n", "line")
 
 
+def _layout_lines(spark, sf_dir) -> DataFrame:
+    """Lines of the content units in page order, at regular places of a page, headings larger: geometry as a plain page would have it."""
+    u = _units(spark, sf_dir).where("report_id is not null and page is not null and paragraph_text is not null")
+    rows = u.select("report_id", "page", "paragraph_id", "unit_type", F.coalesce("start_line", F.lit(0)).alias("s"), F.posexplode(F.split("paragraph_text", "\n")).alias("k", "text")).where(T.norm_line(F.col("text")) != "")
+    i = F.row_number().over(Window.partitionBy("report_id", "page").orderBy("s", "paragraph_id", "k")) - 1
+    head = F.coalesce(F.col("unit_type") == "SECTION_HEADING", F.lit(False))
+    rows = rows.select("report_id", "page", i.alias("line_order"), "text", head.alias("head"))
+    return rows.select(
+        "report_id", "page", "line_order", "text", F.lit(50.0).alias("x0"), (50.0 + 18 * F.col("line_order")).alias("y0"), F.lit(500.0).alias("x1"), (65.0 + 18 * F.col("line_order")).alias("y1"),
+        F.when(F.col("head"), 14.0).otherwise(12.0).alias("size"), F.lit("Helvetica").alias("font"), F.lit(False).alias("bold"), F.when(F.col("head"), "section-header").otherwise("text").alias("layout_class"), F.lit(595.0).alias("width"), F.lit(842.0).alias("height"),
+    )
+
+
+def _headings_of(spark, sf_dir) -> list[tuple[str, list[str]]]:
+    """The accepted names of each category; the list is small and fixed, and `anchors` refuses a longer one."""
+    by: dict[str, list[str]] = {}
+    for r in _t(spark, sf_dir, "heading_alias_ref").where("category_code is not null").orderBy("alias_id").limit(anchors.MOST + 1).collect():
+        by.setdefault(r["category_code"], []).append(r["alias_text"])
+    return sorted(by.items())
+
+
 def alias_hits(spark, sf_dir):
-    refs = _t(spark, sf_dir, "heading_alias_ref").select(F.col("category_code").alias("label"), F.col("alias_text").alias("alias"))
-    return lines.alias_hits(lines.lines_of(_units(spark, sf_dir), ["report_id", "paragraph_id"], "paragraph_text"), ["report_id", "paragraph_id"], refs)
+    found = anchors.window_candidates(_layout_lines(spark, sf_dir), _headings_of(spark, sf_dir))
+    return found.select("report_id", "page", "label", "alias", "line_order", "line_end", "matched_text", "score")
+
+
+def folio_extract(spark, sf_dir):
+    return anchors.edge_folios(_layout_lines(spark, sf_dir)).select("report_id", "page", "line_order", "number")
+
+
+def toc_nearest(spark, sf_dir):
+    l = anchors.real_lines(_layout_lines(spark, sf_dir))
+    return anchors.numbers_near(l.where(T.heading_like(F.col("t"))), l).where("number is not null").select("report_id", "page", "line_order", F.col("t").alias("title"), "number")
+
+
+def contents_pages(spark, sf_dir):
+    return anchors.contents_pages(_layout_lines(spark, sf_dir))
+
+
+def section_anchors(spark, sf_dir):
+    return anchors.section_anchors(_layout_lines(spark, sf_dir), _headings_of(spark, sf_dir)).select("report_id", "label", "page", "line_order", "matched_text", "score", "printed_page", "contents_page")
+
+
+def annexure_anchors(spark, sf_dir):
+    return anchors.annexure_anchors(_layout_lines(spark, sf_dir)).select("report_id", "page", "line_order", "annexure", "matched_text", "label")
+
+
+#: Names of categories in the tables that stand for longer ones.
+LONG_NAMES = {"Business Responsibility & Sustainability Report": "Business Responsibility & Sustainability Report (BRSR)", "Business Responsibility Report": "Business Responsibility Report (BRR)"}
+
+
+def _named(c):
+    full = F.create_map(*[F.lit(x) for p in LONG_NAMES.items() for x in p])
+    return F.coalesce(full[c], c)
+
+
+def _repaired(spark, sf_dir):
+    r = _research(spark, sf_dir).where("report_id is not null and canonical_category is not null")
+    # one section a report and category, the one that begins first
+    first = F.min(F.struct(F.coalesce("start_page", F.lit(1 << 30)).alias("s"), "start_page", "end_page", "match_type", "original_heading"))
+    one = r.groupBy("report_id", _named(F.col("canonical_category")).alias("label")).agg(first.alias("b")).select("report_id", "label", "b.start_page", "b.end_page", "b.match_type", "b.original_heading")
+    return repair.repair(one, _layout_lines(spark, sf_dir))
+
+
+def repair_sections(spark, sf_dir):
+    return _repaired(spark, sf_dir)[0]
+
+
+def repair_audit(spark, sf_dir):
+    return _repaired(spark, sf_dir)[1]
 
 
 def semantic_classify(spark, sf_dir):
@@ -124,11 +191,15 @@ def semantic_best(spark, sf_dir):
 
 
 def fiscal_year(spark, sf_dir):
-    return _t(spark, sf_dir, "documents").select("doc_id", metadata.fiscal_year(F.col("text"), F.col("report_id")).alias("y")).select("doc_id", "y.year", "y.confidence")
+    return metadata.fiscal_year(_pages(spark, sf_dir), "report_id", "doc_id", "text")
 
 
 def company_score(spark, sf_dir):
-    return metadata.company(_units(spark, sf_dir), "report_id", "page", "paragraph_text")
+    return metadata.company(_units(spark, sf_dir).where("report_id is not null and page is not null"), "report_id", "page", "paragraph_text", "paragraph_id")
+
+
+def report_metadata(spark, sf_dir):
+    return metadata.metadata(_units(spark, sf_dir).where("report_id is not null and page is not null"), "report_id", "page", "paragraph_text", "paragraph_id")
 
 
 def text_quality(spark, sf_dir):
@@ -148,7 +219,7 @@ def next_boundary(spark, sf_dir):
 
 
 def packaging_guard(spark, sf_dir):
-    r = _research(spark, sf_dir).select("report_id", "section", "canonical_category", "start_page", "end_page").distinct()
+    r = _research(spark, sf_dir).select("report_id", "section", _named(F.col("canonical_category")).alias("canonical_category"), "start_page", "end_page").distinct()
     return sections.packaging_guard(r)
 
 
@@ -222,7 +293,7 @@ def markdown_plain(spark, sf_dir):
 
 _ALL = (
     page_metrics, quality_screen, quality_choice, quality_summary, norm_compact, heading_lines, headingish_lines, bullet_lines, subsection_labels, edge_lines, clean_text, line_windows, line_context, multiset_minus,
-    alias_hits, semantic_classify, semantic_best, fiscal_year, company_score, text_quality, nearest_page, next_boundary, packaging_guard, payload_ranges, subsection_ffill, paragraphs, sentences, review_queue,
+    alias_hits, folio_extract, toc_nearest, contents_pages, section_anchors, annexure_anchors, repair_sections, repair_audit, semantic_classify, semantic_best, fiscal_year, company_score, report_metadata, text_quality, nearest_page, next_boundary, packaging_guard, payload_ranges, subsection_ffill, paragraphs, sentences, review_queue,
     coverage_audit, search_snippets, manifest_union, quality_join, combined_sections, node_merge, page_gaps, annexure_ids, markdown_plain,
 )
 

@@ -12,6 +12,10 @@ DIR = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables")
 
 
+#: Queries that SQL can't say, with tests of their own.
+NO_SQL = {"paragraphs", "node_merge", "markdown_plain", "contents_pages", "section_anchors", "repair_sections", "repair_audit", "report_metadata"}
+
+
 def core():
     from foliomill.queries import QUERIES
 
@@ -33,6 +37,7 @@ def test_query_against_sql(spark, name):
     got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
     sql = entry.oracle_sql().get(name)
     if sql is None:
+        assert name in NO_SQL
         return
     con = duckdb.connect()
     for p in glob.glob(f"{DIR}/*.parquet"):

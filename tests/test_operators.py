@@ -27,14 +27,6 @@ def test_windows_and_context(spark):
     assert [r["context"] for r in lines.line_context(l, ["k"], 1, 1).orderBy("line_no").collect()] == ["p q", "p q r", "q r"]
 
 
-def test_alias_in_a_line_of_any_length(spark):
-    long = "x" * 500 + " Risk Factors " + "y" * 5000
-    df = spark.createDataFrame([("a", 1, long), ("b", 1, long), ("b", 2, "Risk Factors"), ("c", 1, "x" * 500)], "k string, line_no int, line string")
-    refs = spark.createDataFrame([("RISK", "Risk factors")], "label string, alias string")
-    got = {r["k"]: (r["label"], r["score"], r["line_no"]) for r in lines.alias_hits(df, ["k"], refs).collect()}
-    assert got == {"a": ("RISK", 22, 1), "b": ("RISK", 48, 2)}
-
-
 def test_multiset_difference_counts_repeats(spark):
     s = "k string, line_no int, line string"
     a = spark.createDataFrame([("a", i, "x") for i in range(3)] + [("a", 9, "y")], s)
@@ -50,13 +42,13 @@ def test_next_boundary_is_strictly_later(spark):
 
 def test_packaging_guard(spark):
     rows = [
-        ("a", "Directors' Report", 27, 45), ("a", "Business Responsibility Report", 29, 45), ("a", "Risk Management", 29, 45), ("a", "Corporate Social Responsibility", 31, 45), ("a", "Management Discussion & Analysis", 62, 76),
-        ("a", "Human Resources & Talent", 76, 76), ("b", "Business Responsibility & Sustainability Report", 130, 171), ("b", "Sustainability Report", 130, 171), ("c", "Risk Management", None, 3),
+        ("a", "Directors' Report", 27, 45), ("a", "Business Responsibility Report (BRR)", 29, 45), ("a", "Risk Management", 29, 45), ("a", "Corporate Social Responsibility", 31, 45), ("a", "Management Discussion & Analysis", 62, 76),
+        ("a", "Human Resources & Talent", 76, 76), ("b", "Business Responsibility & Sustainability Report (BRSR)", 130, 171), ("b", "Sustainability Report", 130, 171), ("c", "Risk Management", None, 3),
     ]
     df = spark.createDataFrame(rows, "report_id string, canonical_category string, start_page int, end_page int")
     kept = {(r["report_id"], r["canonical_category"]) for r in sections.packaging_guard(df).where("action = 'KEEP'").collect()}
-    assert kept == {("a", "Directors' Report"), ("a", "Corporate Social Responsibility"), ("a", "Management Discussion & Analysis"), ("b", "Business Responsibility & Sustainability Report"), ("c", "Risk Management")}
-    manual = sections.packaging_guard(df, manual=F.col("canonical_category") == "Risk Management").where("action = 'DROP' and canonical_category = 'Risk Management'")
+    assert kept == {("a", "Directors' Report"), ("a", "Corporate Social Responsibility"), ("a", "Management Discussion & Analysis"), ("b", "Business Responsibility & Sustainability Report (BRSR)"), ("c", "Risk Management")}
+    manual = sections.packaging_guard(df, manual=F.col("canonical_category") == "Risk Management").where("action <> 'KEEP' and canonical_category = 'Risk Management'")
     assert manual.count() == 0
 
 
@@ -134,17 +126,28 @@ def test_quality_choice(spark):
 
 
 def test_fiscal_year(spark):
-    rows = [("Annual Report 2019-20", ""), ("for the year ended 31 March, 2018", ""), ("1999 and 2012/2013 here", ""), ("", "x_2010-11"), ("", "x2009"), (None, None)]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, n string")
-    got = [(r["y"]["year"], r["y"]["confidence"]) for r in df.select("i", metadata.fiscal_year(F.col("t"), F.col("n")).alias("y")).orderBy("i").collect()]
-    assert got == [("2019-20", "high"), ("2017-18", "high"), ("2012-13", "medium"), ("2010-11", "medium"), ("2009", "low"), ("Year not detected", "none")]
+    rows = [
+        ("a", ["Annual Report 2019-20"]), ("b", ["for the year ended 31 March, 2018"]), ("c", ["1999 and 2012/2013 here"]), ("x 2010-11", [""]), ("x 2009", [None]), ("none", [None, ""]), ("FY first", ["FY 2015-16", "Annual report: 2018-2019"]),
+        ("often", ["Since 2018-19 much changed: 2019-20, 2019/2020 and 2019 – 20."]), ("tie", ["2011-12, 2012-13, 2012-13, 2011-12"]), ("late", ["plain"] * 12 + ["NOTICE of the financial year 2013-14", "Annual Report 2003-04"]), ("far", ["plain"] * 12 + ["2013-14"]),
+        ("never", ["plain"] * 61 + ["Annual Report 2003-04"]), ("odd", ["2018-19999 or x2017-18"]),
+    ]
+    df = spark.createDataFrame([(r, i, t) for r, texts in rows for i, t in enumerate(texts, 1)], PAGES)
+    got = {r["report_id"]: (r["year"], r["confidence"]) for r in metadata.fiscal_year(df, "report_id", "page", "text").collect()}
+    none = ("Year not detected", "none")
+    assert got == {"a": ("2019-20", "high"), "b": ("2017-18", "high"), "c": ("2012-13", "medium"), "x 2010-11": ("2010-11", "medium"), "x 2009": ("2009", "low"), "none": none, "FY first": ("2018-19", "high"), "often": ("2019-20", "medium"), "tie": ("2011-12", "medium"),
+                   "late": ("2003-04", "high"), "far": none, "never": none, "odd": none}
 
 
-def test_fiscal_year_takes_the_commonest_range(spark):
-    rows = [("Since 2018-19 much changed: 2019-20, 2019/2020 and 2019 – 20.", "2019-20"), ("2011-12, 2012-13, 2012-13, 2011-12", "2011-12"), ("2018-199 or 2017-18", "2017-18")]
-    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, want string")
-    got = df.select("want", metadata.fiscal_year(F.col("t"), F.lit("x_2001-02")).alias("y")).collect()
-    assert [(r["y"]["year"], r["y"]["confidence"]) for r in got] == [(r["want"], "medium") for r in got]
+def test_company(spark):
+    rows = [
+        ("a", 1, "Name of the Company: Acme Mills Limited\nRegistered office at Alby"), ("a", 2, "Statutory auditor\nBig Four Auditors Private Limited\nauditor and banker"), ("a", 3, "Acme Mills Ltd. grew\nAcme Mills Limited again"),
+        ("b", 1, "For Zeta Pumps Limited"), ("b", 9, "the subsidiary Zeta Pumps Holdings Limited"), ("c", 1, None), ("d", 1, "no name here"),
+    ]
+    df = spark.createDataFrame(rows, PAGES)
+    got = {r["report_id"]: (r["company"], r["score"], r["pages"]) for r in metadata.company(df, "report_id", "page", "text").collect()}
+    assert got["a"] == ("Acme Mills Limited", (5 + 75 + 18 + 45 + 18 + 8) + 2 * (5 + 10) + 6 * 2 + 12, 2) and got["b"] == ("Zeta Pumps Limited", 5 + 18 + 16 + 6, 1) and set(got) == {"a", "b"}
+    m = {r["report_id"]: (r["company"], r["year"]) for r in metadata.metadata(df, "report_id", "page", "text").collect()}
+    assert m["a"] == ("Acme Mills", "Year not detected") and m["d"][0] == "d"
 
 
 def test_search(spark):
