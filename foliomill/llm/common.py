@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -12,6 +9,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut as cut
+
 #: A run of anything but the four ASCII white-space characters.
 TOKEN = r"[^ \t\r\n]+"
 #: Such a run that holds a character beyond ASCII.
@@ -30,22 +29,6 @@ def fresh(df: DataFrame, stem: str) -> str:
     return name
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and read it from there, so that lost executors cost no recomputation.
-
-    The folder is spark.checkpoint.dir; only a local session without it, as in tests, gets a folder of its own. On a cluster without it
-    this is an error, as a folder of one machine would not be seen by the others.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        at = spark.conf.get("spark.checkpoint.dir", None)
-        if at is None and not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
-        context.setCheckpointDir(at or os.path.join(tempfile.gettempdir(), "foliomill-checkpoints"))
-    return df.checkpoint()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The rows over all cores of the cluster: few bytes with much work a row would otherwise be put into one task."""
     spark = df.sparkSession
